@@ -158,4 +158,5 @@ def _differing(batch: DataFrame, snapshot: DataFrame, shared: DataFrame, text: C
     rows = all_rows.withColumn("digest", F.sha2("text", 256)).where(in_bloom(bloom, [F.col("digest")], blocks))
     members = rows.join(shared.select("digest", "keep"), "digest")
     stay = rows.join(shared.select("digest", F.col("keep").alias("id")), ["digest", "id"]).groupBy("digest").agg(F.first("text").alias("stay"))
+    stay = materialize(stay, "stay")  # so that the join can split a large group
     return materialize(members.join(stay, "digest").where(F.col("text") != F.col("stay")).select("id", "digest", "text"), "differing")

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 
 NONE = np.int64(2**62)
-CACHE = 600_000
+CACHE = 1_500_000
 #: White space of the tokenizer's normalizer and of str.split differ in these.
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -134,8 +134,7 @@ class WordCounter:
             need.update(p)
         missing = need.difference(self.known)
         if len(self.known) + len(missing) > CACHE:
-            self.known.clear()
-            missing = need
+            self.known = {c: self.known[c] for c in need.intersection(self.known)}  # frequent ones stay
         todo = list(missing)
         for i in range(0, len(todo), 200_000):
             self._learn(todo[i : i + 200_000])
