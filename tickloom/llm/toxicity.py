@@ -199,8 +199,9 @@ def learn_lexicon(texts: list[str], toxic: list[int], most: int = 400) -> tuple[
     """(terms, stems) that stand out in toxic texts.
 
     Candidates are all words and all their prefixes of 4 to 7 letters, by the number of texts.  One is
-    kept if so many of its texts are toxic that chance would give less than 0.001 of that among all
-    candidates.  A stem must reach many more toxic texts than any whole word with it.
+    kept if so many of its texts are toxic that chance would give less than 0.01 of that among all
+    candidates.  A stem must reach many more toxic texts than any whole word with it; it may occur
+    in some clean texts, as its number of matches counts in the score.
     """
     pos, neg = Counter(), Counter()
     heads_pos, heads_neg = Counter(), Counter()
@@ -213,7 +214,7 @@ def learn_lexicon(texts: list[str], toxic: list[int], most: int = 400) -> tuple[
     if not n_pos or n_pos == len(toxic):
         return [], []
     base = n_pos / len(toxic)
-    need = math.log(1000.0 * (len(pos) + len(heads_pos)))
+    need = math.log(100.0 * (len(pos) + len(heads_pos)))
 
     def surprise(c: int, d: int) -> float:
         """Minus the log of about the chance of c or more toxic texts of c + d (Chernoff)."""
@@ -225,7 +226,7 @@ def learn_lexicon(texts: list[str], toxic: list[int], most: int = 400) -> tuple[
     for w, c in pos.items():
         for n in range(4, min(8, len(w))):
             top[w[:n]] = max(top[w[:n]], c)
-    stems = {h: s for h, c in heads_pos.items() if (s := surprise(c, heads_neg[h])) > need and c >= 4 * (heads_neg[h] + 1) and c >= 2 * max(top[h], pos[h])}
+    stems = {h: s for h, c in heads_pos.items() if (s := surprise(c, heads_neg[h])) > need and c >= heads_neg[h] and c >= 2 * max(top[h], pos[h])}
     kept: list[str] = []
     for h in sorted(stems, key=lambda h: (-stems[h], len(h), h)):
         if not any(h.startswith(k) or k.startswith(h) for k in kept):
@@ -287,3 +288,16 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, id_col: str =
 
     out = slim.mapInArrow(run, f"doc_id {kind}, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def reject(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below threshold, with all their columns, in one pass."""
+    state = pickle.dumps((scorer.lexicon.terms, scorer.lexicon.stems, scorer.weights))
+
+    def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = _load(state)
+        for b in batches(table, text_col):
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            yield b.filter(pa.array(s.scores(texts) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
