@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -152,7 +153,7 @@ def batches(table: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20)
     for b in table:
         at = b.schema.get_field_index(column)
         text = b.column(at)
-        lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(text), 0), dtype=np.int64)
+        lens = np.asarray(pc.fill_null(pc.binary_length(text), 0), dtype=np.int64)
         part = np.cumsum(lens) // most
         cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(lens)]
         for i, j in zip(cuts, cuts[1:], strict=False):
@@ -174,8 +175,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
         for b in batches(table, "text"):
             texts = b.column(1).to_pylist()
             n = pa.array(c.counts(texts), pa.int64())
-            size = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, n, pa.compute.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     slim = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
     kind = slim.schema["doc_id"].dataType.simpleString()
