@@ -12,8 +12,8 @@ from ..schema import CLAIM_TOLERANCE
 def _literal(phrase):
     """A regular expression for the phrase in a column, not inside a longer number."""
     quoted = F.concat(F.lit("\\Q"), phrase, F.lit("\\E"))
-    before = F.when(phrase.rlike(r"^[0-9]"), F.lit("(?<![0-9.])")).otherwise("")
-    after = F.when(phrase.rlike(r"[0-9]$"), F.lit("(?![0-9])")).otherwise("")
+    before = F.when(phrase.rlike(r"^[0-9]"), F.lit("(?<![0-9.])")).otherwise(F.lit(""))
+    after = F.when(phrase.rlike(r"[0-9]$"), F.lit("(?![0-9])")).otherwise(F.lit(""))
     return F.concat(before, quoted, after)
 
 
@@ -24,7 +24,7 @@ def check_values(claims: DataFrame, metrics: DataFrame, texts: DataFrame, tolera
     body = texts.select("surface", flat(F.col("text")).alias("text"))
     joined = claims.join(metrics.select("metric", F.col("value").alias("got")), "metric", "left").join(body, "surface", "left")
     drifted = F.coalesce(F.abs(F.col("got") - F.col("want")) > tolerance, F.lit(True))
-    missing = ~F.coalesce(F.col("text").rlike(_literal(F.col("phrase"))), F.lit(False))
+    missing = ~F.coalesce(F.regexp_like("text", _literal(F.col("phrase"))), F.lit(False))
     return joined.select("surface", "label", "got", "want", drifted.alias("drifted"), missing.alias("missing"))
 
 

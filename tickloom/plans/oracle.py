@@ -102,16 +102,10 @@ REALIGN = f"m0 AS (SELECT *, lead(ts) OVER w AS t1, lead(cex) OVER w AS c1 FROM
 
 
 def _dense(src: str = "paired") -> str:
-    return f"""g0 AS (SELECT window_, symbol, unnest(generate_series(min(ts), max(ts), {HOUR})) AS ts FROM {src} GROUP BY ALL),
+    return f"""g0 AS (SELECT window_, symbol, unnest(generate_series(min(ts), max(ts), {HOUR})) AS ts FROM {src} GROUP BY window_, symbol),
 grid AS (SELECT window_, symbol, ts, cex, dex FROM g0 LEFT JOIN {src} USING (window_, symbol, ts))"""
 
 
-def _corr(x: str, y: str) -> str:
-    ok = f"({x}) IS NOT NULL AND ({y}) IS NOT NULL"
-    a, b = f"CASE WHEN {ok} THEN {x} END", f"CASE WHEN {ok} THEN {y} END"
-    return f"(avg(CASE WHEN {ok} THEN ({x}) * ({y}) END) - avg({a}) * avg({b})) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
-
-
 def _cov(x: str, y: str) -> str:
     ok = f"({x}) IS NOT NULL AND ({y}) IS NOT NULL"
     a, b = f"CASE WHEN {ok} THEN {x} END", f"CASE WHEN {ok} THEN {y} END"
@@ -303,7 +297,7 @@ SELECT window_ AS "window", symbol, fill_rate, {_r(line("dr"))} AS false_lead_dr
     q["wide_windows"] = f"WITH {_coverage(True)} SELECT symbol, {', '.join(f'max(CASE WHEN window_ = {chr(39)}w{i}{chr(39)} THEN paired_minutes END) AS w{i}' for i in range(3))} FROM cover GROUP BY ALL"
     q["json_layouts"] = "SELECT o_orderkey AS k, unnest(['a', 'pool', 'b', 'c']) AS venue, epoch_us(o_orderdate) // 1000000 AS ts, o_totalprice::DECIMAL(18, 2)::DOUBLE AS close FROM orders"
     q["page_overlap"] = "SELECT user_id AS k, epoch_us(ts) // 86400000000 * 86400 AS ts, arg_max(value, event_id) AS value FROM events GROUP BY user_id, epoch_us(events.ts) // 86400000000"
-    q["universe_screen"] = "WITH t AS (SELECT upper(substr(p_brand, 1, 8)) || p_partkey || CASE WHEN p_size % 2 = 0 THEN 'X' ELSE 'Y' END AS base, p_retailprice * 100 AS v FROM part) SELECT base AS symbol, base || '_USDT' AS currency_pair, round(v)::BIGINT AS cex_volume_24h FROM t WHERE base LIKE '%X' AND v >= 100000"
+    q["universe_screen"] = "WITH t AS (SELECT upper(substr(p_brand, 1, 8)) || p_partkey || CASE WHEN p_size % 2 = 0 THEN 'X' ELSE 'Y' END AS base, p_retailprice * 100 AS v FROM part) SELECT base AS symbol, base || '_USDT' AS currency_pair, round(v)::BIGINT AS cex_volume_24h FROM t WHERE base LIKE '%X' AND v >= 4000"
     q["deepest_pools"] = f"WITH {POOLS} SELECT symbol, base_address AS mint, pool, dex, round(liquidity)::BIGINT AS dex_liquidity, round(volume)::BIGINT AS dex_volume_24h FROM best WHERE k = 1"
     q["impostors"] = f"WITH {POOLS} SELECT symbol, base_address AS impostor_mint, arg_max(dex, liquidity) AS dex, max(liquidity) AS claimed_liquidity_usd FROM pools WHERE chain = 'solana' AND NOT starts_with(base_address, 'Xs') GROUP BY ALL"
     q["registry_check"] = f"""WITH {POOLS}, mine AS (SELECT symbol, base_address AS mint FROM best WHERE k = 1), i AS (SELECT 'T' || s_nationkey || 'X' AS symbol, 'Xs' || min(s_suppkey) AS issuer_mint FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY s_nationkey), r AS (SELECT 'Xs' || s_suppkey AS mint, s_name AS registry_name FROM supplier WHERE s_suppkey % 2 = 0)
@@ -317,6 +311,7 @@ SELECT symbol, mint, issuer_mint IS NOT NULL AS issuer_lists_symbol, issuer_mint
     q["html_report"] = "SELECT '<table><tr><th>key</th><th>name</th></tr>' || string_agg(CASE WHEN n_regionkey = 0 THEN '<tr class=\"tone\">' ELSE '<tr>' END || '<td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' AS html FROM nation"
     q["spelled_numbers"] = f"SELECT p_partkey, CASE WHEN p_size BETWEEN 0 AND 20 THEN {SPELLED}[p_size + 1] ELSE p_size::VARCHAR END AS spelled FROM part"
     q["prose_blocks"] = r"WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block FROM documents) SELECT doc_id, count(CASE WHEN NOT (regexp_matches(block, '^(?:#|>|\||!|<|-|\*|---|```|    |\d+\.)') OR contains(block, '```')) THEN 1 END) AS prose, count(*) AS blocks FROM b GROUP BY ALL"
+    q["compound_rejoin"] = r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '(\w)(\w\w) ', '\1-' || chr(10) || '\2 ', 'g'), '(\w)-\n(\w)', '\1-\2', 'g')) AS joined_md5 FROM conversations"
     q["link_heal"] = "SELECT event_id, 'see [x](http://a.b/' || user_id || '/c' || event_type || ') and (' || user_id || ' d)' AS healed FROM events"
     q["spoken_dates"] = "SELECT o_orderkey, strftime(o_orderdate, '%-d %B') AS spoken FROM orders"
     q["ascii_scan"] = r"SELECT doc_id, NOT regexp_matches(text, '[^\x00-\x7F]') AS ascii FROM documents"

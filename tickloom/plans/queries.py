@@ -400,7 +400,7 @@ def page_overlap(spark, d):
 
 def universe_screen(spark, d):
     t = table(spark, d, "part").select(F.concat(F.upper(F.substring("p_brand", 1, 8)), F.col("p_partkey"), F.when(F.col("p_size") % 2 == 0, "X").otherwise("Y"), F.lit("_USDT")).alias("currency_pair"), (F.col("p_retailprice") * 100).cast("string").alias("quote_volume"))
-    return P.screen_universe(t, 100000.0)
+    return P.screen_universe(t, 4000.0)
 
 
 def _pools(spark, d):
