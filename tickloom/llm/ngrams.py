@@ -253,15 +253,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     entity = posts.select("token", "gid", "n", "pos").join(kinds, ["gid", "n"])
     mixed = entity.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     entity = materialize(entity.join(mixed, "token"), "entities")
-    lists = entity.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "low", "high")]) for s in "ab")
-    apart = left.join(right, "token").where((F.col("comp_a") < F.col("comp_b")) & (den * F.col("high_b") >= num * F.col("low_a")) & (den * F.col("high_a") >= num * F.col("low_b"))).select("token", "comp_a", "comp_b")
-    ea, eb = (entity.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "gid", "n", "pos")]) for s in "ab")
-    met = apart.join(ea, ["token", "comp_a"]).join(eb, ["token", "comp_b"]).where(_alike(F.col("n_a"), F.col("n_b"), num, den))
-    found = met.groupBy("gid_a", "n_a", "comp_a", "gid_b", "n_b", "comp_b").agg(F.count("*").alias("shared"), F.min("pos_a").alias("at_a"), F.min("pos_b").alias("at_b"))
-    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * num / F.lit(num + den))
-    may = (F.col("shared") >= F.least(_enough(F.col("n_a"), num, den), _enough(F.col("n_b"), num, den))) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= overlap)
-    found = found.where(may)
+    # the first token that a similar pair shares leaves room for the overlap in both sets
+    room = lambda reach, x, y: (num + den) * F.col(reach) >= num * (F.col(x) + F.col(y))
+    lists = entity.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"))
+    left, right = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "low", "high", "reach")]) for s in "ab")
+    sizes = (den * F.col("high_b") >= num * F.col("low_a")) & (den * F.col("high_a") >= num * F.col("low_b"))
+    apart = left.join(right, "token").where((F.col("comp_a") < F.col("comp_b")) & sizes & room("reach_a", "low_a", "low_b") & room("reach_b", "low_a", "low_b")).select("token", "comp_a", "comp_b")
+    ea, eb = (entity.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "gid", "n")], (F.col("n") - F.col("pos")).alias(f"reach_{s}")) for s in "ab")
+    met = apart.join(ea, ["token", "comp_a"]).join(eb, ["token", "comp_b"]).where(_alike(F.col("n_a"), F.col("n_b"), num, den) & room("reach_a", "n_a", "n_b") & room("reach_b", "n_a", "n_b"))
+    met = met.select("gid_a", "n_a", "comp_a", "gid_b", "n_b", "comp_b").distinct()
+    pa_, pb = (prefixes.select(F.col("id").alias(f"gid_{s}"), F.col("prefix").alias(f"prefix_{s}")) for s in "ab")
+    shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
+    found = met.join(pa_, "gid_a").join(pb, "gid_b").where(shared >= F.least(_enough(F.col("n_a"), num, den), _enough(F.col("n_b"), num, den)))
     ra, rb = (of.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "comp")]) for x, s in (("a", "a"), ("b", "b")))
     pairs = found.join(ra, ["gid_a", "n_a", "comp_a"]).join(rb, ["gid_b", "n_b", "comp_b"]).select("a", "b").distinct()
     more = materialize(_verified(docs, materialize(pairs, "pairs"), n, num, den), "links")
