@@ -121,7 +121,7 @@ p1 AS (SELECT window_, symbol, ts, a - lag(a) OVER w AS da, b - lag(b) OVER w AS
 p2 AS (SELECT *, {shifts} FROM p1 WINDOW w AS (PARTITION BY window_, symbol ORDER BY ts)),
 p3 AS ({longs}),
 p4 AS (SELECT *, row_number() OVER (PARTITION BY window_, symbol ORDER BY corr DESC NULLS LAST, lag DESC) AS k FROM p3),
-profile AS (SELECT window_, symbol, max(CASE WHEN k = 1 THEN lag END) AS best_lag, max(CASE WHEN lag = 0 THEN corr END) AS corr_at_zero, max(CASE WHEN k = 1 THEN corr END) AS corr_at_best FROM p4 GROUP BY ALL)"""
+profile AS (SELECT window_, symbol, max(CASE WHEN k = 1 AND corr IS NOT NULL THEN lag END) AS best_lag, max(CASE WHEN lag = 0 THEN corr END) AS corr_at_zero, max(CASE WHEN k = 1 THEN corr END) AS corr_at_best FROM p4 GROUP BY ALL)"""
 
 
 def _uniform(key: str) -> str:
@@ -254,8 +254,8 @@ FROM c0 JOIN f USING (window_, symbol) JOIN g USING (window_, symbol) JOIN az US
     boot = _bootstrap()
     q["bootstrap_lead"] = f"WITH {boot} SELECT symbol, draws, {_r('lead_share')} AS lead_share, {_r('speed_a_low')} AS speed_a_low, {_r('speed_a_high')} AS speed_a_high, {_r('speed_b_low')} AS speed_b_low, {_r('speed_b_high')} AS speed_b_high, abs(speed_a_high) < abs(speed_b_low) AS speeds_separated FROM boot"
     q["robustness"] = f"""WITH {_coverage()},{_design("paired", "fd")},{_fit("fd", "f")},{_shares()},{_spread("paired", "z0")},{_adf("z0", "az")}{boot[len(_paired()) :]}
-SELECT c.symbol, c.paired_minutes, fill_rate, consecutive_share, median_gap_min, max_gap_min, {_r("az.adf")} AS adf, stationary, {SPEEDS}, {_r("is_low", 4)} AS is_low, {_r("is_high", 4)} AS is_high, {_r("rho")} AS rho, {_r("lead_share")} AS lead_share, abs(speed_a_high) < abs(speed_b_low) AS speeds_separated, (w_a > 0.5) = ((is_low + is_high) / 2 > 0.5) AS agree, 'ranked' AS verdict
-FROM cover c JOIN shares USING (window_, symbol) JOIN az USING (window_, symbol) JOIN boot USING (window_, symbol)"""
+SELECT c.symbol, c.paired_minutes, fill_rate, consecutive_share, median_gap_min, max_gap_min, {_r("az.adf")} AS adf, stationary, {SPEEDS}, {_r("is_low", 4)} AS is_low, {_r("is_high", 4)} AS is_high, {_r("rho")} AS rho, {_r("lead_share")} AS lead_share, abs(speed_a_high) < abs(speed_b_low) AS speeds_separated, (w_a > 0.5) = ((is_low + is_high) / 2 > 0.5) AS agree, CASE WHEN c.paired_minutes >= 120 THEN 'ranked' ELSE 'too few paired minutes' END AS verdict
+FROM cover c LEFT JOIN shares s ON c.paired_minutes >= 120 AND s.symbol = c.symbol LEFT JOIN az ON c.paired_minutes >= 120 AND az.symbol = c.symbol LEFT JOIN boot ON c.paired_minutes >= 120 AND boot.symbol = c.symbol"""
     q["perm_spearman"] = f"""WITH {CUSTOMERS}, r AS (SELECT id, {_rank("paired_min")} AS rx, {_rank("ratio")} AS ry FROM vr), num AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM r),
 s AS (SELECT draw, ry, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', 0, draw, id)), id) AS i FROM r, generate_series(1, 2000) g(draw)),
 c AS (SELECT draw, avg(num.rx * s.ry) AS m FROM s JOIN num USING (i) GROUP BY ALL), k AS (SELECT avg(rx) AS mx, avg(ry) AS my, stddev_pop(rx) * stddev_pop(ry) AS ss, (avg(rx * ry) - avg(rx) * avg(ry)) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM r)
@@ -275,7 +275,7 @@ SELECT user_id, led, total, {_r("least(1.0, 2 * sum(exp(lgamma(total + 1) - lgam
     q["windows_leadership"] = f"""WITH {_paired(split=True)},{_vecm()}, w AS (SELECT window_, symbol, round(leads::INT * 0.5 + 0.3, 3) AS w FROM f)
 SELECT symbol, max(CASE WHEN window_ = 'w0' THEN w END) AS w0, max(CASE WHEN window_ = 'w1' THEN w END) AS w1, max(CASE WHEN window_ = 'w2' THEN w END) AS w2, count(w) AS windows_ranked, coalesce(bool_and(w > 0.5), false) AS led_every_window, CASE WHEN count(w) >= 2 THEN max(w) - min(w) END AS spread_across_windows FROM w GROUP BY ALL"""
     q["replication"] = f"WITH {_paired(split=True)},{_vecm()} SELECT x.symbol, {_r('x.speed_a')} AS speed_cex_first, {_r('x.speed_b')} AS speed_dex_first, {_r('y.speed_a')} AS speed_cex_second, {_r('y.speed_b')} AS speed_dex_second, x.leads AND y.leads AS leads_both FROM f x JOIN f y ON x.symbol = y.symbol AND x.window_ = 'w0' AND y.window_ = 'w1'"
-    q["lead_tally"] = f'WITH {_paired(split=True)},{_vecm()} SELECT window_ AS "window", count(CASE WHEN leads THEN 1 END) AS led, count(*) AS total FROM f GROUP BY ROLLUP (window_)'
+    q["lead_tally"] = f'WITH {_paired(split=True)},{_vecm()} SELECT window_ AS "window", count(CASE WHEN leads THEN 1 END) AS led, count(*) AS total FROM f GROUP BY ROLLUP (window_) HAVING count(*) > 0'
     line = lambda y: f"CASE WHEN c1.k IS NULL THEN c0.{y} ELSE c0.{y} + (v - c0.k) / (c1.k - c0.k) * (c1.{y} - c0.{y}) END"
     q["staleness_risk"] = f"""WITH {_coverage(True)}, cv AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM (SELECT k::DOUBLE AS k, dr::DOUBLE AS dr, ho::DOUBLE AS ho FROM {CURVE} t(k, dr, ho))), x AS (SELECT window_, symbol, fill_rate, least(greatest(fill_rate, 0.05), 1.0) AS v FROM cover)
 SELECT window_ AS "window", symbol, fill_rate, {_r(line("dr"))} AS false_lead_drop, {_r(line("ho"))} AS false_lead_hold FROM x JOIN cv c0 ON v >= c0.k LEFT JOIN cv c1 ON c1.i = c0.i + 1 WHERE c1.k IS NULL OR v < c1.k"""
