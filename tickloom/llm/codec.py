@@ -40,50 +40,60 @@ HEAD = struct.Struct("<4sBBHIIIIIIII")
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 U16, U48, ONE = np.uint64(16), np.uint64(48), np.uint64(1)
 MIX_BITS, HASH_BITS, GAIN, LANES, STRETCH = 12, 18, 16, 4096, 256
+BITS0 = 24
 BLOCK_TOKENS = 1 << 20
 
 
 class _Model:
+    """Predictions are kept as id * 8 + confidence.  Ids of past steps enter the order-0 counts when
+    its table is rebuilt, ever less often."""
+
     def __init__(self, vocab: int):
         self.vocab = vocab
-        self.pred2, self.conf2 = np.zeros(1 << HASH_BITS, dtype=np.int64), np.zeros(1 << HASH_BITS, dtype=np.int64)
-        self.pred1, self.conf1 = np.zeros(vocab, dtype=np.int64), np.zeros(vocab, dtype=np.int64)
-        self.hits = np.ones((128, 3), dtype=np.int64)
+        self.two, self.one = np.zeros(1 << HASH_BITS, dtype=np.int64), np.zeros(vocab, dtype=np.int64)
+        self.hits = np.ones(384, dtype=np.int64)
         self.count = np.ones(vocab, dtype=np.int64)
-        self.steps = self.rebuilt = 0
-        self._tables()
-
-    def _tables(self) -> None:
-        """Cut points of the 4096 slots of each context, and the order-0 sums."""
-        total = self.hits.sum(axis=1)
-        room = (1 << MIX_BITS) - 3
-        two = 1 + self.hits[:, 0] * room // total
-        one = 1 + self.hits[:, 1] * room // total
-        self.cut1, self.cut2 = two.astype(np.uint64), (two + one).astype(np.uint64)
-        if not self.steps or self.steps - self.rebuilt > self.steps // 16:
-            self.cum = np.concatenate([[0], np.cumsum(self.count)]).astype(np.uint64)
-            self.freq = np.diff(self.cum)
-            self.rebuilt = self.steps
-
-    def look(self, p2: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The two predictions; keeps the places they came from."""
-        self.at2 = ((p2 * 0x9E3779B1 + p1 * 0x85EBCA77) >> 7) & ((1 << HASH_BITS) - 1)
-        self.at1 = p1
-        self.a, self.ca = self.pred2[self.at2], self.conf2[self.at2]
-        self.b, self.cb = self.pred1[p1], self.conf1[p1]
-        self.ctx = (self.ca * 8 + self.cb) * 2 + (self.a == self.b)
-        return self.a, self.b
-
-    def learn(self, x: np.ndarray, which: np.ndarray) -> None:
-        self.hits += np.bincount(self.ctx * 3 + which, minlength=384).reshape(128, 3)
-        np.add.at(self.count, x, GAIN)
-        for pred, conf, at, old, c in ((self.pred2, self.conf2, self.at2, self.a, self.ca), (self.pred1, self.conf1, self.at1, self.b, self.cb)):
-            hit = x == old
-            conf[at] = np.where(hit, np.minimum(c + 1, 7), c >> 1)
-            new = np.flatnonzero(~hit & (c <= 1))
-            pred[at[new]] = x[new]
+        self.past: list[np.ndarray] = []
+        self.steps = self.next = 0
+        self._mix()
+        self._order0()
+
+    def _mix(self) -> None:
+        """Cut points of the 4096 slots of each context."""
+        hits = self.hits.reshape(128, 3)
+        total, room = hits.sum(axis=1), (1 << MIX_BITS) - 3
+        first = 1 + hits[:, 0] * room // total
+        self.cut1, self.cut2 = first.astype(np.uint64), (first + 1 + hits[:, 1] * room // total).astype(np.uint64)
+
+    def _order0(self) -> None:
+        """Sums of the order-0 shares, in units of 2**-BITS0, one at least for each id."""
+        if self.past:
+            self.count += GAIN * np.bincount(np.concatenate(self.past), minlength=self.vocab)
+            self.past = []
+        sums = np.concatenate([[0], np.cumsum(self.count)])
+        self.cum = (sums * ((1 << BITS0) - self.vocab) // sums[-1] + np.arange(self.vocab + 1)).astype(np.uint64)
+        self.freq = np.diff(self.cum)
+        self.next = self.steps + 1 + self.steps // 16
+
+    def look(self, p2: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both predictions and the context; keeps the places they came from."""
+        self.at2, self.at1 = ((p2 * 0x9E3779B1 + p1 * 0x85EBCA77) >> 7) & ((1 << HASH_BITS) - 1), p1
+        self.v2, self.v1 = self.two[self.at2], self.one[p1]
+        a, b = self.v2 >> 3, self.v1 >> 3
+        self.ctx = ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (a == b)
+        return a, b, self.ctx
+
+    def learn(self, x: np.ndarray, which: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        self.hits += np.bincount(self.ctx * 3 + which, minlength=384)
+        for table, at, v, old in ((self.two, self.at2, self.v2, a), (self.one, self.at1, self.v1, b)):
+            c = v & 7
+            table[at] = np.where(x == old, np.where(c < 7, v + 1, v), np.where(c <= 1, x << 3, v - c + (c >> 1)))
+        self.past.append(x)
         self.steps += 1
-        self._tables()
+        if self.steps < 16 or self.steps % 4 == 0:
+            self._mix()
+        if self.steps >= self.next:
+            self._order0()
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -104,9 +114,9 @@ def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, int, np.ndarray, np.nd
     out, pos = np.zeros((lanes, steps * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
     p1 = p2 = np.zeros(lanes, np.int64)
     for x in grid:
-        a, b = model.look(p2, p1)
+        a, b, ctx = model.look(p2, p1)
         which = np.where(x == a, 0, np.where(x == b, 1, 2))
-        one, two = model.cut1[model.ctx], model.cut2[model.ctx]
+        one, two = model.cut1[ctx], model.cut2[ctx]
         r = rng >> np.uint64(MIX_BITS)
         start = np.where(which == 0, np.uint64(0), np.where(which == 1, one, two))
         stop = np.where(which == 0, one, np.where(which == 1, two, np.uint64(1 << MIX_BITS)))
@@ -114,7 +124,7 @@ def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, int, np.ndarray, np.nd
         rng = r * (stop - start)
         miss = np.flatnonzero(which == 2)
         if len(miss):
-            r0, xm = rng[miss] // model.cum[-1], x[miss]
+            r0, xm = rng[miss] >> np.uint64(BITS0), x[miss]
             low[miss] += r0 * model.cum[xm]
             rng[miss] = r0 * model.freq[xm]
         while True:
@@ -127,7 +137,7 @@ def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, int, np.ndarray, np.nd
             out[go, pos[go]] = lo >> U48
             pos[go] += 1
             low[go], rng[go] = lo << U16, rg << U16
-        model.learn(x, which)
+        model.learn(x, which, a, b)
         p2, p1 = p1, x
     last = (low + np.uint64(2**32 - 1)) >> np.uint64(32)
     lane = np.arange(lanes)
@@ -154,10 +164,10 @@ def decode_ids(n: int, vocab: int, lanes: int, steps: int, lengths: np.ndarray,
     model, low, rng = _Model(vocab), np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     grid = np.zeros((steps, lanes), dtype=np.int64)
     p1 = p2 = np.zeros(lanes, np.int64)
-    full = np.uint64((1 << MIX_BITS) - 1)
+    full, last0 = np.uint64((1 << MIX_BITS) - 1), np.uint64((1 << BITS0) - 1)
     for t in range(steps):
-        a, b = model.look(p2, p1)
-        one, two = model.cut1[model.ctx], model.cut2[model.ctx]
+        a, b, ctx = model.look(p2, p1)
+        one, two = model.cut1[ctx], model.cut2[ctx]
         r = rng >> np.uint64(MIX_BITS)
         v = np.minimum((code - low) // r, full)
         which = (v >= one).astype(np.int64) + (v >= two)
@@ -168,8 +178,8 @@ def decode_ids(n: int, vocab: int, lanes: int, steps: int, lengths: np.ndarray,
         x = np.where(which == 0, a, b)
         miss = np.flatnonzero(which == 2)
         if len(miss):
-            r0 = rng[miss] // model.cum[-1]
-            v0 = np.minimum((code[miss] - low[miss]) // r0, model.cum[-1] - ONE)
+            r0 = rng[miss] >> np.uint64(BITS0)
+            v0 = np.minimum((code[miss] - low[miss]) // r0, last0)
             xm = np.searchsorted(model.cum, v0, side="right") - 1
             x[miss] = xm
             low[miss] += r0 * model.cum[xm]
@@ -185,7 +195,7 @@ def decode_ids(n: int, vocab: int, lanes: int, steps: int, lengths: np.ndarray,
             pos[go] += 1
             low[go], rng[go] = lo << U16, rg << U16
         grid[t] = x
-        model.learn(x, which)
+        model.learn(x, which, a, b)
         p2, p1 = p1, x
     return grid.T.reshape(-1)[:n]
 
@@ -229,7 +239,7 @@ class Encoder:
     follows.  Texts with other spacing, or with a special token's string, go through the library
     whole."""
 
-    KEEP = 500_000
+    KEEP = 1_200_000
 
     def __init__(self, path: str):
         import os
@@ -244,10 +254,20 @@ class Encoder:
         specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r" (?:\s|$)", *map(re.escape, specials)]))
         self.known: dict[str, bytes] = {}
+        space = self.tok.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(self.vocab, dtype=bool)
+        self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
 
     def _run(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encodes pieces in one text, a space before each; only a piece's first token has a space."""
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.type)
+        at = np.flatnonzero(self.opens[ids]) * self.type.itemsize
+        raw = ids.tobytes()
+        self.known.update((c, raw[i:j]) for c, i, j in zip(pieces, at.tolist(), [*at[1:].tolist(), len(raw)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.whole.search(t)]
@@ -256,20 +276,19 @@ class Encoder:
         skip = set(odd)
         rest = [i for i in range(len(texts)) if i not in skip]
         parts = [texts[i].split(" ") for i in rest]
-        heads = self._run([p[0] for p in parts])
-        need: set[str] = set()
-        for p in parts:
-            need.update(p[1:])
-        missing = need.difference(self.known)
+        heads = self._run([p.pop(0) for p in parts])
+        get = self.known.get
+        found = [list(map(get, p)) for p in parts]
+        missing = list({c for p, f in zip(parts, found, strict=True) if None in f for c, v in zip(p, f, strict=True) if v is None})
         if len(self.known) + len(missing) > self.KEEP:
-            self.known = {c: self.known[c] for c in need.intersection(self.known)}  # frequent ones stay
-        todo = list(missing)
-        for k in range(0, len(todo), 50_000):
-            some = todo[k : k + 50_000]
-            self.known.update(zip(some, self._run([" " + c for c in some]), strict=True))
+            self.known = {}
+        for k in range(0, len(missing), 50_000):
+            self._learn(missing[k : k + 50_000])
         get = self.known.__getitem__
-        for i, p, head in zip(rest, parts, heads, strict=True):
-            out[i] = head + b"".join(map(get, p[1:]))
+        for i, head, p, f in zip(rest, heads, parts, found, strict=True):
+            if None in f:
+                f = [get(c) if v is None else v for c, v in zip(p, f, strict=True)]
+            out[i] = head + b"".join(f)
         return out
 
 
