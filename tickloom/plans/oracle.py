@@ -202,7 +202,7 @@ POOLS = """pools AS (SELECT 'T' || s_nationkey || 'X' AS symbol, CASE WHEN s_sup
   CASE WHEN s_suppkey % 4 = 0 THEN 'Fake' ELSE 'Xs' END || s_suppkey AS base_address, abs(s_acctbal) AS liquidity, s_acctbal AS volume FROM supplier),
 best AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY liquidity DESC, pool) AS k FROM pools WHERE chain = 'solana' AND starts_with(base_address, 'Xs'))"""
 CLAIMS = """e AS (SELECT event_type AS t, count(*) AS n FROM events GROUP BY ALL),
-res AS (SELECT substr(c.t, 1, 1) AS surface, 'count of ' || c.t AS label, c.n::DOUBLE AS got, c.n + CASE WHEN c.t = 'view' THEN 1.0 ELSE 0.005 END AS want, abs(c.n - (c.n + CASE WHEN c.t = 'view' THEN 1.0 ELSE 0.005 END)) > 0.011 AS drifted, c.t = 'click' AS missing FROM e c)"""
+res AS (SELECT substr(c.t, 1, 1) AS surface, 'count of ' || c.t AS label, c.n::DOUBLE AS got, c.n + CASE WHEN c.t = 'view' THEN 1.0::DOUBLE ELSE 0.005::DOUBLE END AS want, abs(c.n - (c.n + CASE WHEN c.t = 'view' THEN 1.0 ELSE 0.005 END)) > 0.011 AS drifted, c.t = 'click' AS missing FROM e c)"""
 PANEL = f"""{_paired()},
 r0 AS (SELECT window_, symbol, unnest(['all', CASE WHEN {OPEN} THEN 'open' ELSE 'closed' END]) AS regime, ts, cex, dex FROM paired),
 r1 AS (SELECT *, coalesce((cex <> lag(cex) OVER w)::INT, 1) AS ma, coalesce((dex <> lag(dex) OVER w)::INT, 1) AS mb FROM r0 WINDOW w AS (PARTITION BY window_, symbol, regime ORDER BY ts)),
