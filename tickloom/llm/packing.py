@@ -52,8 +52,8 @@ def pack(rows: DataFrame, buckets: int = 16, budget: int = 65536, bins: int = BI
     A null length counts as 0.  Repeated ids are rows of their own.  No rows give no rows.
     """
     slim = rows.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n_tokens"))
-    top = slim.agg(F.max("n_tokens")).first()[0] or 0
-    width = -(-(top + 1) // bins)
+    distinct, top = slim.groupBy("n_tokens").count().agg(F.count("*"), F.coalesce(F.max("n_tokens"), F.lit(0))).first()
+    width = 1 if distinct <= bins else -(-(top + 1) // bins)
     hist = slim.groupBy(F.floor(F.col("n_tokens") / width).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n"), F.sum("n_tokens").alias("total")).orderBy("bin").collect()
     edges = best_boundaries(*(np.array([r[k] for r in hist], dtype=np.int64) for k in ("longest", "n", "total")), buckets)
     bucket, boundary = F.lit(0), F.lit(0).cast("long")
