@@ -33,6 +33,18 @@ def pair_up(bars_: DataFrame, a, b) -> DataFrame:
     return bars_.where(F.col("venue").isin(a, b)).groupBy(*KEYS, "ts").agg(pick(a).alias("cex"), pick(b).alias("dex")).where("cex is not null and dex is not null")
 
 
+def pair_ticks(ticks: DataFrame, width: int, a, b, value: str = "value", order: tuple[str, ...] = ("at", "seq")) -> DataFrame:
+    """pair_up(bars(ticks)) in a single aggregate: last positive value of either venue in each bucket."""
+    bucket = (F.col("at") - F.pmod(F.col("at"), F.lit(width))).cast("long")
+
+    def last(v) -> Column:
+        mine = F.col("venue") == v
+        return F.max_by(F.when(mine, F.col(value)), F.when(mine, F.struct(*order)))
+
+    good = ticks.where((F.col(value) > 0) & F.col("venue").isin(a, b))
+    return good.groupBy(*KEYS, bucket.alias("ts")).agg(last(a).alias("cex"), last(b).alias("dex")).where("cex is not null and dex is not null")
+
+
 def clip_overlap(bars_: DataFrame, a, b) -> DataFrame:
     """Bars inside the stretch that both venues cover."""
     w = Window.partitionBy(*KEYS)

@@ -302,6 +302,13 @@ SELECT window_ AS "window", symbol, fill_rate, {_r(line("dr"))} AS false_lead_dr
     q["impostors"] = f"WITH {POOLS} SELECT symbol, base_address AS impostor_mint, arg_max(dex, liquidity) AS dex, max(liquidity) AS claimed_liquidity_usd FROM pools WHERE chain = 'solana' AND NOT starts_with(base_address, 'Xs') GROUP BY ALL"
     q["registry_check"] = f"""WITH {POOLS}, mine AS (SELECT symbol, base_address AS mint FROM best WHERE k = 1), i AS (SELECT 'T' || s_nationkey || 'X' AS symbol, 'Xs' || min(s_suppkey) AS issuer_mint FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY s_nationkey), r AS (SELECT 'Xs' || s_suppkey AS mint, s_name AS registry_name FROM supplier WHERE s_suppkey % 2 = 0)
 SELECT symbol, mint, issuer_mint IS NOT NULL AS issuer_lists_symbol, issuer_mint, coalesce(issuer_mint = mint, false) AS issuer_mint_matches, registry_name IS NOT NULL AS in_registry, registry_name, coalesce(issuer_mint = mint, false) AND registry_name IS NOT NULL AS confirmed FROM mine LEFT JOIN i USING (symbol) LEFT JOIN r USING (mint)"""
+    q["issuer_list"] = "SELECT 'T' || s_nationkey || 'X' AS symbol, 'Xs' || arg_max(s_suppkey, s_suppkey % 4 * 1000000 + s_suppkey) AS address FROM supplier WHERE s_suppkey % 3 <> 0 GROUP BY s_nationkey"
+    q["pool_search"] = f"WITH {POOLS} SELECT symbol, chain, dex, pool, base_address, CASE WHEN liquidity > 1000 THEN liquidity ELSE 0 END AS liquidity, volume FROM pools"
+    q["universe_build"] = f"WITH {POOLS}, t AS (SELECT 'T' || c_nationkey || 'X' AS symbol, round(sum(abs(c_acctbal)))::BIGINT AS v FROM customer GROUP BY c_nationkey) SELECT symbol, symbol || '_USDT' AS cex_pair, v AS cex_volume_24h, base_address AS mint, pool, dex, round(liquidity)::BIGINT AS dex_liquidity, round(volume)::BIGINT AS dex_volume_24h FROM t JOIN best USING (symbol) WHERE k = 1 AND v >= 20000"
+    q["group_medians"] = f"SELECT l_returnflag, l_linestatus, count(*) AS n, quantile_cont(l_quantity, 0.5) AS median_quantity, {_r('stddev_samp(l_discount)')} AS sd_discount, {_r('covar_samp(l_quantity, l_discount)')} AS cov FROM lineitem GROUP BY ALL"
+    q["rolling_sums"] = f"WITH {_paired()}, s AS (SELECT symbol, ts, sum(cex) OVER (w ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS s, row_number() OVER w AS i FROM paired WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, ts, {_r('s', 4)} AS block_sum FROM s WHERE i >= 10"
+    q["sets_disjoint"] = "SELECT c_mktsegment, NOT bool_or(c_custkey % 40 + CASE WHEN c_mktsegment = 'BUILDING' THEN 100 ELSE 0 END IN (SELECT o_custkey % 40 FROM orders)) AS disjoint FROM customer GROUP BY ALL"
+    q["mirror_drift"] = "SELECT n_name AS name, sha256(n_name) AS sha_a, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE sha256(lower(n_name)) END AS sha_b FROM nation WHERE n_nationkey % 5 = 0 OR (n_nationkey % 7 = 0 AND lower(n_name) <> n_name)"
     q["text_flatten"] = r"SELECT doc_id, md5(regexp_replace(text, '\s+', ' ', 'g')) AS flat_md5 FROM documents"
     q["phrase_presence"] = r"SELECT doc_id, regexp_matches(text, '(^|[^0-9.])2\.0([^0-9]|$)') AS has_2_0, contains(text, 'the') AS has_the FROM documents"
     q["number_tokens"] = r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))), ',') AS numbers, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[-+]\d+(?:\.\d+)?'))), ',') AS signed FROM documents"

@@ -42,7 +42,7 @@ def bars(spark: SparkSession, sf_dir: str, width: int = HOUR, split: bool = Fals
 
 
 def paired(spark: SparkSession, sf_dir: str, width: int = HOUR, split: bool = False) -> DataFrame:
-    return B.pair_up(bars(spark, sf_dir, width, split), 0, 1)
+    return B.pair_ticks(ticks(spark, sf_dir, split), width, 0, 1, order=("t0", "seq"))
 
 
 def logs(spark: SparkSession, sf_dir: str, width: int = HOUR, split: bool = False) -> DataFrame:
@@ -116,7 +116,7 @@ def thin_hold(spark, d):
 def orders_paired(spark, d):
     """Daily order prices by priority, customers' parity as the venue."""
     o = table(spark, d, "orders").where("o_totalprice > 0").select(F.lit("all").alias("window"), F.col("o_orderpriority").alias("symbol"), (F.col("o_custkey") % 2).alias("venue"), N.epoch("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("value"))
-    return B.pair_up(B.bars(o, 86400), 0, 1).groupBy("symbol").agg(F.count("*").alias("minutes"), tidy(F.avg(F.col("cex") / F.col("dex") - 1)).alias("premium"))
+    return B.pair_ticks(o, 86400, 0, 1).groupBy("symbol").agg(F.count("*").alias("minutes"), tidy(F.avg(F.col("cex") / F.col("dex") - 1)).alias("premium"))
 
 
 # ------------------------------------------------------------------ estimators
@@ -146,7 +146,7 @@ def vecm_threshold(spark, d):
 
 def vecm_orders(spark, d):
     o = table(spark, d, "orders").where("o_totalprice > 0").select(F.lit("all").alias("window"), F.col("o_orderpriority").alias("symbol"), (F.col("o_custkey") % 2).alias("venue"), N.epoch("o_orderdate").alias("at"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("value"))
-    return _speeds(E.vecm_fit(E.log_prices(B.pair_up(B.bars(o, 86400), 0, 1)))).drop("window")
+    return _speeds(E.vecm_fit(E.log_prices(B.pair_ticks(o, 86400, 0, 1)))).drop("window")
 
 
 def hasbrouck(spark, d):
@@ -425,6 +425,64 @@ def registry_check(spark, d):
     return P.verify_mints(mine, issuer, registry)
 
 
+def issuer_list(spark, d):
+    """Nested pages of an issuer's tokens: deployments exploded, one network kept, the last page wins."""
+    s = table(spark, d, "supplier").select((F.col("s_suppkey") % 4).alias("page_no"), "s_suppkey", "s_nationkey")
+    dep = F.array(F.struct(F.when(F.col("s_suppkey") % 3 == 0, "ether").otherwise("solana").alias("network"), F.concat(F.lit("Xs"), F.col("s_suppkey")).alias("address")))
+    node = F.struct("s_suppkey", F.concat(F.lit("t"), F.col("s_nationkey"), F.lit("x")).alias("symbol"), dep.alias("deployments"))
+    pages = s.select("page_no", node.alias("n")).groupBy("page_no").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: F.struct(n["symbol"].alias("symbol"), n["deployments"].alias("deployments"))).alias("nodes"))
+    return P.issuer_list(pages.select("page_no", F.to_json(F.struct("nodes")).alias("payload")))
+
+
+def pool_search(spark, d):
+    """Pool search payloads written as JSON and read back; missing liquidity counts as 0."""
+    p = _pools(spark, d)
+    usd = F.when(F.col("liquidity") > 1000, F.col("liquidity"))
+    one = F.struct(F.col("chain").alias("chainId"), F.col("dex").alias("dexId"), F.col("pool").alias("pairAddress"), F.struct(F.col("base_symbol").alias("symbol"), F.col("base_address").alias("address")).alias("baseToken"), F.struct(usd.alias("usd")).alias("liquidity"), F.struct(F.col("volume").alias("h24")).alias("volume"))
+    back = P.search_pairs(p.select("symbol", F.to_json(F.struct(F.array(one).alias("pairs"))).alias("payload")))
+    return back.select("symbol", "chain", "dex", "pool", "base_address", "liquidity", "volume")
+
+
+def universe_build(spark, d):
+    """Tickers joined to their deepest genuine pool: one row for each paired token, by volume."""
+    best = P.deepest_pools(_pools(spark, d), "Xs")
+    t = table(spark, d, "nation").join(table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum(F.abs("c_acctbal")).alias("v")), F.col("n_nationkey") == F.col("c_nationkey"))
+    tickers = t.select(F.concat(F.lit("T"), F.col("n_nationkey"), F.lit("X_USDT")).alias("currency_pair"), F.round("v").cast("string").alias("quote_volume"))
+    return P.screen_universe(tickers).join(best, "symbol").select("symbol", F.col("currency_pair").alias("cex_pair"), "cex_volume_24h", "mint", "pool", "dex", "dex_liquidity", "dex_volume_24h")
+
+
+def group_medians(spark, d):
+    """Count, median and sample deviation by group."""
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.percentile("l_quantity", 0.5).alias("median_quantity"), tidy(F.stddev_samp("l_discount")).alias("sd_discount"), tidy(F.covar_samp("l_quantity", "l_discount")).alias("cov"))
+
+
+def rolling_sums(spark, d):
+    """Sums over blocks of ten rows, by difference of running sums and so in one pass."""
+    w = B.ordered()
+    p = paired(spark, d).withColumns({"p": F.sum("cex").over(w.rowsBetween(Window.unboundedPreceding, 0)), "i": F.row_number().over(w)})
+    return p.withColumn("s", F.col("p") - F.coalesce(F.lag("p", 10).over(w), F.lit(0.0))).where("i >= 10").select("symbol", "ts", tidy(F.col("s"), 4).alias("block_sum"))
+
+
+def sets_disjoint(spark, d):
+    """Groups whose keys share nothing with another table's keys."""
+    known = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("k")).distinct().withColumn("hit", F.lit(1))
+    c = table(spark, d, "customer").select("c_mktsegment", (F.col("c_custkey") % 40 + F.when(F.col("c_mktsegment") == "BUILDING", 100).otherwise(0)).alias("k"))
+    return c.join(known, "k", "left").groupBy("c_mktsegment").agg((F.count("hit") == 0).alias("disjoint"))
+
+
+def mirror_drift(spark, d):
+    """Datasets whose content differs between two mirrors, or that one of them lacks."""
+    n = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("k"), F.sha2("n_name", 256).alias("sha"))
+    other = n.where("k % 5 <> 0").select("name", F.when(F.col("k") % 7 == 0, F.sha2(F.lower("name"), 256)).otherwise(F.col("sha")).alias("sha"))
+    return T.drifted_files(n.select("name", "sha"), other)
+
+
+def simulated_pair(spark, d):
+    """The simulator as a SQL table function."""
+    M.register(spark)
+    return spark.sql("SELECT * FROM simulate_pair(500, 0.0D, 0.4D, 0.0005D, 0.0D, 0)")
+
+
 # ------------------------------------------------------------------ text
 
 
@@ -583,6 +641,7 @@ ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bootstrap_lead, perm_spearman, spearman_ratio, group_buckets, strict_tally, token_dependence, pair_spine, effective_pairs, sign_test, windows_leadership, replication, lead_tally, staleness_risk,
     floor_summary, alignment_summary, pivot_lags, lag_flips, closed_share, regime_crossing, median_split, pass_window, checks_table,
     topup_anti, semi_ranked, key_sets, order_contract, top_gaps, wide_windows, json_layouts, page_overlap, universe_screen, deepest_pools, impostors, registry_check,
+    issuer_list, pool_search, universe_build, group_medians, rolling_sums, sets_disjoint, mirror_drift, simulated_pair,
     text_flatten, phrase_presence, number_tokens, markdown_table, html_cells, page_links, html_report, spelled_numbers, prose_blocks, compound_rejoin, link_heal, wrap, spoken_dates, ascii_scan, fenced_commands,
     claims_check, claims_tally, direction_check, table_compare, sim_calibration, calibration_summary, sim_staleness, stream_pairs,
 ]

@@ -36,8 +36,9 @@ def robustness(paired: DataFrame, cover: DataFrame, draws: int = S.DRAWS, least:
 
 
 def lag_sweep(paired: DataFrame, lags: tuple[int, ...] = SWEEP_LAGS) -> DataFrame:
-    """A fit for each lag order; each has its own sample.  Refused ones do not appear."""
-    logs = E.log_prices(paired).select(*KEYS, "ts", "a", "b").cache()
+    """A fit for each lag order; each has its own sample.  Refused ones do not appear.  The orders
+    differ above the exchange only, so Spark reuses one exchange for all."""
+    logs = E.log_prices(paired).select(*KEYS, "ts", "a", "b")
     parts = [E.vecm_fit(logs, n).withColumn("lags", F.lit(n)) for n in lags]
     out = parts[0]
     for p in parts[1:]:
