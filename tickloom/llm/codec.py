@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import materialize, partitions, sole_cache
 from .tokens import batches
 
 MAGIC, VERSION = b"TLRC", 1
@@ -268,7 +268,11 @@ class Encoder:
         raw = ids.tobytes()
         self.known.update((c, raw[i:j]) for c, i, j in zip(pieces, at.tolist(), [*at[1:].tolist(), len(raw)], strict=True))
 
+    def _forget(self) -> None:
+        self.known = {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        sole_cache("ids", self._forget)
         out: list[bytes] = [b""] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.whole.search(t)]
         for i, ids in zip(odd, self._run([texts[i] for i in odd]), strict=True):

@@ -4,11 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(name: str, clear: Callable[[], None]) -> None:
+    """Says that a worker process now fills this cache: those of other operators are emptied, so a
+    worker that serves several stages holds one cache at a time."""
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = clear
 
 
 def shared_dir(spark: SparkSession) -> str:

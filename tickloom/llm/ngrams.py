@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, partitions
+from .common import components, materialize, partitions, sole_cache
 from .tokens import batches
 
 HEAVY_FROM = 16
@@ -43,7 +43,7 @@ class _Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         v = self[w] = xxhash.xxh64_intdigest(w)
         return v
@@ -52,6 +52,11 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+    sole_cache("word hashes", _WORDS.clear)
+    return [shingle_set(t, n) for t in texts]
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
     return h ^ (h >> U(32))
@@ -86,7 +91,7 @@ def heavy_tokens(docs: DataFrame, n: int, buckets: int) -> np.ndarray:
 
     def pack(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(table, "text"):
-            sets = [shingle_set(t, n) for t in b.column(1).to_pylist()]
+            sets = _sets(b.column(1).to_pylist(), n)
             keys, counts = np.unique(np.concatenate([np.zeros(0, U), *sets]) >> shift, return_counts=True)
             part = (keys * U(buckets)) >> U(40)
             cuts = np.searchsorted(part, np.arange(buckets + 1, dtype=U))
@@ -149,8 +154,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, order) -> DataFrame:
         o = order.value
         for b in batches(table, "text"):
             sizes, s1, s2, sp, prefixes = [], [], [], [], []
-            for t in b.column(1).to_pylist():
-                s = shingle_set(t, n)
+            for s in _sets(b.column(1).to_pylist(), n):
                 m = len(s)
                 need = _need(m, num, den)
                 pre = o.first(s, m - need + min(SHARED, need)) if m else s
@@ -177,7 +181,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
 
     def make(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(table, "text"):
-            sets = [np.unique(shingle_set(t, n) >> U(16)) for t in b.column(1).to_pylist()]
+            sets = [np.unique(s >> U(16)) for s in _sets(b.column(1).to_pylist(), n)]
             blob = [(s >> U(32)).astype("<u2").tobytes() + (s & U(0xFFFFFFFF)).astype("<u4").tobytes() for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blob, pa.binary())], ["id", "set"])
 

@@ -13,8 +13,10 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from .common import sole_cache
+
 NONE = np.int64(2**62)
-CACHE = 1_500_000
+CACHE = 1_000_000
 #: White space of the tokenizer's normalizer and of str.split differ in these.
 _ODD = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -116,6 +118,9 @@ class WordCounter:
             text = text.lower()
         return [c for c in _SPACES.split(text) if c] if _ODD.search(text) else text.split()
 
+    def _forget(self) -> None:
+        self.known = {}
+
     def _learn(self, missing: list[str]) -> None:
         found = [self.pattern.findall(c) for c in missing]
         pieces = list(dict.fromkeys(p for f in found for p in f))
@@ -124,6 +129,7 @@ class WordCounter:
 
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text, special strings one each.  Counts of chunks are remembered up to a bound."""
+        sole_cache("word counts", self._forget)
         parts, extra = [], []
         for t in texts:
             t = t or ""
@@ -148,7 +154,7 @@ def counter(path: str) -> WordCounter:
     return WordCounter(path)
 
 
-def batches(table: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def batches(table: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of record batches with about ``most`` bytes of text, one row at least."""
     for b in table:
         at = b.schema.get_field_index(column)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sole_cache
 from .tokens import batches
 
 WORD = re.compile(r"\w+")
@@ -26,7 +27,7 @@ TOKEN = re.compile(r"\w+|[\"“”„«»]")
 QUOTES = frozenset("\"“”„«»")
 WINDOW = 10
 LEAST_FUZZY = 5
-KEEP = 1_000_000
+KEEP = 500_000
 EXACT, FUZZY, STEM = 1, 2, 3
 
 
@@ -129,6 +130,9 @@ class Scorer:
         self.known: set[str] = set()
         self.bad: dict[str, int] = {}
 
+    def _forget(self) -> None:
+        self.known, self.bad = set(), {}
+
     def _learn(self, words: set[str]) -> None:
         fresh = words.difference(self.known)
         if len(self.known) + len(fresh) > KEEP:
@@ -168,6 +172,7 @@ class Scorer:
         return np.array([1.0, math.log1p(kinds[EXACT]), math.log1p(kinds[FUZZY]), math.log1p(kinds[STEM]), math.log1p(inside), math.log1p(densest), 100.0 * out / max(n, 30), float(kinds[EXACT] + kinds[STEM] > 0)])
 
     def all_features(self, texts: list[str | None]) -> np.ndarray:
+        sole_cache("toxic words", self._forget)
         low = [(t or "").lower() for t in texts]
         words = [set(WORD.findall(t)) for t in low]
         self._learn(set().union(*words))
@@ -203,18 +208,27 @@ def learn_lexicon(texts: list[str], toxic: list[int], most: int = 400) -> tuple[
     candidates.  A stem must reach many more toxic texts than any whole word with it; it may occur
     in some clean texts, as its number of matches counts in the score.
     """
-    pos, neg = Counter(), Counter()
-    heads_pos, heads_neg = Counter(), Counter()
-    for t, y in zip(texts, toxic, strict=True):
+    def parts(t: str) -> tuple[set[str], set[str]]:
         words = {w for w in WORD.findall(t.lower()) if len(w) >= 3 and not w.isdigit()}
-        heads = {w[:n] for w in words for n in range(4, 8) if len(w) > n}
-        (pos if y else neg).update(words)
-        (heads_pos if y else heads_neg).update(heads)
+        return words, {w[:n] for w in words for n in range(4, 8) if len(w) > n}
+
     n_pos = sum(1 for y in toxic if y)
     if not n_pos or n_pos == len(toxic):
         return [], []
     base = n_pos / len(toxic)
+    pos, heads_pos = Counter(), Counter()
+    for t in (t for t, y in zip(texts, toxic, strict=True) if y):
+        words, heads = parts(t)
+        pos.update(words)
+        heads_pos.update(heads)
     need = math.log(100.0 * (len(pos) + len(heads_pos)))
+    least = need / -math.log(base)  # with fewer toxic texts, none is surprising
+    pos, heads_pos = (Counter({k: c for k, c in x.items() if c >= least}) for x in (pos, heads_pos))
+    neg, heads_neg = Counter(), Counter()
+    for t in (t for t, y in zip(texts, toxic, strict=True) if not y):
+        words, heads = parts(t)
+        neg.update(words & pos.keys())
+        heads_neg.update(heads & heads_pos.keys())
 
     def surprise(c: int, d: int) -> float:
         """Minus the log of about the chance of c or more toxic texts of c + d (Chernoff)."""
@@ -240,7 +254,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = (), most_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = (), most_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
     """Learns terms, stems and weights from at most ``most_rows`` labelled rows, drawn by a hash of
     the id from those not held out.  ``lexicon`` adds terms to those learned.
 
@@ -257,7 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = (), most_rows
     terms = list(dict.fromkeys([*map(str.lower, lexicon), *terms]))
     scorer = Scorer(FuzzyLexicon(terms, stems), PRIOR.copy())
     if 0 < sum(y) < len(y):
-        scorer.weights = fit_weights(scorer.all_features(texts), np.array(y, dtype=float))
+        x = np.vstack([scorer.all_features(texts[i : i + 500]) for i in range(0, len(texts), 500)])
+        scorer.weights = fit_weights(x, np.array(y, dtype=float))
     return Scorer(FuzzyLexicon(terms, stems), scorer.weights)
 
 
