@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -247,7 +248,7 @@ def test_written_blocks_decode_to_the_library_ids(docs):
 @pytest.mark.parametrize("t", ["a  b", "x \ny", " lead", "trail ", "a\n \nb", "a,\n\nb c.", "it's,\tb", "foo.\nBar, baz. Qux", "a!, b", "a,b. c", ".\n.", "\n", ", ", "a\x00, b"])
 def test_encoder_equals_the_library(t):
     lib = Tokenizer.from_file(BYTE)
-    assert np.frombuffer(codec.encoder(BYTE).encode([t])[0], "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(codec.encoder(BYTE).encode(pa.array([t]))[0], "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_blocks_of_nothing(empty):

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +40,11 @@ MAGIC, VERSION = b"TLRC", 1
 HEAD = struct.Struct("<4sBBHIIIIIIII")
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
 U16, U48, ONE = np.uint64(16), np.uint64(48), np.uint64(1)
-MIX_BITS, HASH_BITS, GAIN, LANES, STRETCH = 12, 18, 16, 4096, 256
+MIX_BITS, HASH_BITS, GAIN, LANES, STRETCH = 12, 18, 16, 8192, 128
 BITS0 = 24
 BLOCK_TOKENS = 1 << 20
+#: White space, Unicode's and Python's, for Arrow's regular expressions.
+ODD_SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 class _Model:
@@ -73,8 +76,21 @@ class _Model:
         sums = np.concatenate([[0], np.cumsum(self.count)])
         self.cum = (sums * ((1 << BITS0) - self.vocab) // sums[-1] + np.arange(self.vocab + 1)).astype(np.uint64)
         self.freq = np.diff(self.cum)
+        self.near = None
         self.next = self.steps + 1 + self.steps // 16
 
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The id whose share holds v: a table gives the first id of v's stretch, most ids are there or
+        one further, and only the others are searched for."""
+        if self.near is None:
+            self.near = np.searchsorted(self.cum, np.arange(1 << (BITS0 - 9), dtype=np.uint64) << np.uint64(9), side="right") - 1
+        at = self.near[(v >> np.uint64(9)).astype(np.int64)]
+        at += self.cum[at + 1] <= v
+        more = np.flatnonzero(self.cum[at + 1] <= v)
+        if len(more):
+            at[more] = np.searchsorted(self.cum, v[more], side="right") - 1
+        return at
+
     def look(self, p2: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Both predictions and the context; keeps the places they came from."""
         self.at2, self.at1 = ((p2 * 0x9E3779B1 + p1 * 0x85EBCA77) >> 7) & ((1 << HASH_BITS) - 1), p1
@@ -180,7 +196,7 @@ def decode_ids(n: int, vocab: int, lanes: int, steps: int, lengths: np.ndarray,
         if len(miss):
             r0 = rng[miss] >> np.uint64(BITS0)
             v0 = np.minimum((code[miss] - low[miss]) // r0, last0)
-            xm = np.searchsorted(model.cum, v0, side="right") - 1
+            xm = model.find(v0)
             x[miss] = xm
             low[miss] += r0 * model.cum[xm]
             rng[miss] = r0 * model.freq[xm]
@@ -251,8 +267,8 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.vocab = self.tok.get_vocab_size()
         self.type = np.dtype("<u2" if self.vocab <= 65536 else "<u4")
-        specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" (?:\s|$)", *map(re.escape, specials)]))
+        specials = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = "|".join([f" [{ODD_SPACE}]", " $", *specials])
         self.known: dict[str, bytes] = {}
         space = self.tok.encode(" ", add_special_tokens=False).tokens[0]
         self.opens = np.zeros(self.vocab, dtype=bool)
@@ -271,29 +287,42 @@ class Encoder:
     def _forget(self) -> None:
         self.known = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids, packed.  Pieces are split and numbered by Arrow kernels, each distinct one is
+        looked up once, and the ids of all texts are gathered in one numpy step."""
         sole_cache("ids", self._forget)
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.whole.search(t)]
-        for i, ids in zip(odd, self._run([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        skip = set(odd)
-        rest = [i for i in range(len(texts)) if i not in skip]
-        parts = [texts[i].split(" ") for i in rest]
-        heads = self._run([p.pop(0) for p in parts])
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        missing = list({c for p, f in zip(parts, found, strict=True) if None in f for c, v in zip(p, f, strict=True) if v is None})
+        odd = pc.match_substring_regex(texts, self.whole)
+        plain = texts.filter(pc.invert(odd))
+        whole = iter(self._run(texts.filter(odd).to_pylist()))
+        rest = iter(self._plain(plain)) if len(plain) else iter(())
+        return [next(whole) if o else next(rest) for o in odd.to_pylist()]
+
+    def _plain(self, texts: pa.Array) -> list[bytes]:
+        lists = pc.split_pattern(texts, " ")
+        first = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        pieces = lists.flatten()
+        heads = self._run(pieces.take(pa.array(first)).to_pylist())
+        numbered = pieces.dictionary_encode()
+        names = numbered.dictionary.to_pylist()
+        found = list(map(self.known.get, names))
+        missing = [c for c, v in zip(names, found, strict=True) if v is None and c]
         if len(self.known) + len(missing) > self.KEEP:
-            self.known = {}
+            self.known = {c: v for c, v in zip(names, found, strict=True) if v is not None}
         for k in range(0, len(missing), 50_000):
             self._learn(missing[k : k + 50_000])
-        get = self.known.__getitem__
-        for i, head, p, f in zip(rest, heads, parts, found, strict=True):
-            if None in f:
-                f = [get(c) if v is None else v for c, v in zip(p, f, strict=True)]
-            out[i] = head + b"".join(f)
-        return out
+        get = self.known.get
+        found = [(get(c) or b"") if v is None else v for c, v in zip(names, found, strict=True)]
+        which = numbered.indices.to_numpy().astype(np.int64)
+        which[first] = len(found) + np.arange(len(first))
+        found += heads
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
+        ids, begin = np.frombuffer(b"".join(found), dtype=self.type), np.cumsum(sizes) - sizes
+        take = sizes[which]
+        ends = np.cumsum(take)
+        out = ids[np.repeat(begin[which] - (ends - take), take) + np.arange(ends[-1])]
+        stop = np.r_[ends[first[1:] - 1], ends[-1]]
+        raw, width = out.tobytes(), self.type.itemsize
+        return [raw[i * width : j * width] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -301,6 +330,18 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _by_id(docs: DataFrame, parts: int) -> DataFrame:
+    """docs in ranges of doc_id, nulls in the first.  Bounds come from the id column alone: dealing rows
+    out by range would read all texts once more for its sample."""
+    id_ = F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).cast("double")
+    bounds = docs.select(id_.alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    splits = [float("-inf"), *sorted(set(bounds)), float("inf")]
+    if len(splits) < 3:
+        return docs.coalesce(1)
+    named = docs.withColumn("_x", id_)
+    return Bucketizer(splits=splits, inputCol="_x", outputCol="_b").transform(named).repartitionById(len(splits) - 1, F.col("_b").cast("int")).drop("_x", "_b")
+
+
 def write_blocks(docs: DataFrame, path: str, end_id: int = 0, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text and writes block files in ascending id order; returns them as
     (part, seq, before, n_docs, n_tokens, block): partition, number and tokens before it in there.
@@ -308,11 +349,11 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 0, block_tokens: int
     Null text counts as empty: its ids are the end id alone.  Null ids come first.  Repeated ids
     are documents of their own.  A block takes whole documents until it has ``block_tokens`` ids, so
     a longer document is a block of its own.  An empty table gives no blocks.
-    Range partitioning is by id, before the costly encoding, so sampling for it reads ids only.
+    Partitions are ranges of ids, dealt out before the costly encoding.
     The rows are stored as Parquet by Spark's committer: a lost task leaves nothing behind.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = slim.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    ordered = _by_id(slim, partitions(docs.sparkSession)).sortWithinPartitions("doc_id")
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("block", pa.binary())])
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +366,8 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 0, block_tokens: int
             block = pack_block(names, np.array(lens), ids, enc.vocab)
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_docs": len(names), "n_tokens": len(ids), "block": block}], schema=schema)
 
-        for b in batches(table, "text"):
-            for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+        for b in batches(table, "text", 16 << 20):
+            for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 n = len(ids) // enc.type.itemsize + 1
                 if names and size + n > block_tokens:
                     yield flush()
@@ -344,6 +385,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 0, block_tokens: int
 
 def read_blocks(blocks: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) decoded from block rows."""
+    # one row for each partition that was written: a small table
     sums = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     first = sums.select("part", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("part")) - F.col("n")).alias("first"))
 
@@ -359,7 +401,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[k].as_py()] * n, pa.int64()), pa.array(names, pa.int64()), pa.array(starts + b.column(1)[k].as_py(), pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())], ["part", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     rows = blocks.select("part", "before", "block").mapInArrow(run, "part long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(first, "part").select("doc_id", (F.col("at") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(first), "part").select("doc_id", (F.col("at") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_ids(blocks: DataFrame) -> DataFrame:
