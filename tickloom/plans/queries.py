@@ -16,8 +16,6 @@ from ..operators import estimators as E
 from ..operators import relation as R
 from ..operators import resample as S
 from ..operators import simulate as M
-from ..operators.bars import KEYS
-from ..schema import MIN_PAIRED
 from ..sources import payloads as P
 from ..sources import tables as T
 from . import studies as Q
