@@ -179,7 +179,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.int32()), pa.array(key), b.column(0).take(take), b.column(2).take(take), pa.array([r.tobytes() for r in x], pa.binary())], ["d", "cell", "rep", "k", "x"])
 
     ordered = distinct.select("rep", "v", "k").mapInArrow(cells, "d int, cell string, rep long, k long, x binary")
-    placed = global_rank(ordered, ["d"], ["cell", "rep", "x"], "at").withColumn("s", F.floor(F.col("at") / size))
+    placed = global_rank(materialize(ordered, "cells"), ["d"], ["cell", "rep", "x"], "at").withColumn("s", F.floor(F.col("at") / size))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_rank, words_in
+from .common import global_rank, materialize, words_in
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
@@ -44,6 +44,7 @@ def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, c
     target 0 and gives no copies.  An empty table gives no rows.  Only the columns named are read.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    slim = materialize(slim, "sizes")  # texts are read once; dealing rows out samples them first
     ranked = global_rank(slim, ["source"], ["size", "doc_id"], "_rank")
     sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, list(weights), share, cap).select(F.col("source").alias("_s"), "source_size", "target")
