@@ -200,49 +200,65 @@ def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     return w
 
 
+#: A stem counts as repeated in a text from so many of its words on.
+OFTEN = 3
+
+
+def _surprise(c: int, d: int, base: float) -> float:
+    """Minus the log of about the chance that c or more of c + d texts are toxic (Chernoff)."""
+    n, q = c + d, c / (c + d)
+    return -1.0 if q <= base else n * (q * math.log(q / base) + ((1 - q) * math.log((1 - q) / (1 - base)) if q < 1 else 0.0))
+
+
 def learn_lexicon(texts: list[str], toxic: list[int], most: int = 400) -> tuple[list[str], list[str]]:
     """(terms, stems) that stand out in toxic texts.
 
-    Candidates are all words and all their prefixes of 4 to 7 letters, by the number of texts.  One is
-    kept if so many of its texts are toxic that chance would give less than 0.01 of that among all
-    candidates.  A stem must reach many more toxic texts than any whole word with it; it may occur
-    in some clean texts, as its number of matches counts in the score.
+    Candidates are whole words, their prefixes of 4 to 7 letters, and prefixes that several words of a
+    text share, each by the number of texts.  One is kept if so many of its texts are toxic that
+    chance would give less than 0.001 of that among all words and prefixes, or less than 0.1 among
+    the few shared prefixes.  A stem must reach
+    many more toxic texts than any whole word with it; it may occur in some clean texts, as its
+    number of matches counts in the score.
     """
-    def parts(t: str) -> tuple[set[str], set[str]]:
-        words = {w for w in WORD.findall(t.lower()) if len(w) >= 3 and not w.isdigit()}
-        return words, {w[:n] for w in words for n in range(4, 8) if len(w) > n}
+
+    def kinds(t: str) -> tuple[set[str], set[str], set[str]]:
+        words = Counter(w for w in WORD.findall(t.lower()) if len(w) >= 3 and not w.isdigit())
+        heads: Counter = Counter()
+        for w, k in words.items():
+            for n in range(4, min(8, len(w))):
+                heads[w[:n]] += min(k, 2)
+        return set(words), set(heads), {h for h, k in heads.items() if k >= OFTEN}
 
     n_pos = sum(1 for y in toxic if y)
     if not n_pos or n_pos == len(toxic):
         return [], []
     base = n_pos / len(toxic)
-    pos, heads_pos = Counter(), Counter()
+    pos, neg = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
     for t in (t for t, y in zip(texts, toxic, strict=True) if y):
-        words, heads = parts(t)
-        pos.update(words)
-        heads_pos.update(heads)
-    need = math.log(100.0 * (len(pos) + len(heads_pos)))
-    least = need / -math.log(base)  # with fewer toxic texts, none is surprising
-    pos, heads_pos = (Counter({k: c for k, c in x.items() if c >= least}) for x in (pos, heads_pos))
-    neg, heads_neg = Counter(), Counter()
+        for c, found in zip(pos, kinds(t), strict=True):
+            c.update(found)
+    all_ = len(pos[0]) + len(pos[1])
+    need = [math.log(1000.0 * max(1, n)) for n in (all_, all_)] + [math.log(10.0 * max(1, len(pos[2])))]
+    # with fewer toxic texts than that, none is surprising
+    pos = [Counter({k: n for k, n in c.items() if n >= x / -math.log(base)}) for c, x in zip(pos, need, strict=True)]
     for t in (t for t, y in zip(texts, toxic, strict=True) if not y):
-        words, heads = parts(t)
-        neg.update(words & pos.keys())
-        heads_neg.update(heads & heads_pos.keys())
-
-    def surprise(c: int, d: int) -> float:
-        """Minus the log of about the chance of c or more toxic texts of c + d (Chernoff)."""
-        n, q = c + d, c / (c + d)
-        return -1.0 if q <= base else n * (q * math.log(q / base) + ((1 - q) * math.log((1 - q) / (1 - base)) if q < 1 else 0.0))
-
-    terms = {w: s for w, c in pos.items() if (s := surprise(c, neg[w])) > need and c >= 4 * (neg[w] + 1)}
-    top = Counter()
-    for w, c in pos.items():
+        for c, keep, found in zip(neg, pos, kinds(t), strict=True):
+            c.update(found & keep.keys())
+
+    def scored(i: int) -> dict[str, float]:
+        return {k: x for k, c in pos[i].items() if (x := _surprise(c, neg[i][k], base)) > need[i]}
+
+    terms = {w: x for w, x in scored(0).items() if pos[0][w] >= 4 * (neg[0][w] + 1)}
+    top: Counter = Counter()
+    for w, c in pos[0].items():
         for n in range(4, min(8, len(w))):
             top[w[:n]] = max(top[w[:n]], c)
-    stems = {h: s for h, c in heads_pos.items() if (s := surprise(c, heads_neg[h])) > need and c >= heads_neg[h] and c >= 2 * max(top[h], pos[h])}
+    stems = {h: x for h, x in scored(1).items() if pos[1][h] >= neg[1][h] and pos[1][h] >= 2 * max(top[h], pos[0][h])}
+    for h, x in scored(2).items():
+        if pos[2][h] >= 4 * (neg[2][h] + 1) and pos[2][h] >= 2 * max(top[h], pos[0][h]):
+            stems[h] = max(x, stems.get(h, x))
     kept: list[str] = []
-    for h in sorted(stems, key=lambda h: (-stems[h], len(h), h)):
+    for h in sorted(stems, key=lambda h: (-stems[h], -len(h), h)):
         if not any(h.startswith(k) or k.startswith(h) for k in kept):
             kept.append(h)
     words = [w for w in sorted(terms, key=lambda w: (-terms[w], w)) if not any(w.startswith(k) for k in kept)]
