@@ -8,7 +8,8 @@
 2. Prefixes.  A document's prefix in that order must share at least 3 tokens (fewer for small sets)
    with that of any document similar enough.  Equal sets collapse to one representative, and
    representatives with equal prefix and size to one group.
-3. Hubs.  In each posting list, members are verified against the smallest group only; most of a
+3. Hubs.  In each posting list, members are verified against one group only, the one in whose prefix
+   the token comes first: of near copies, that with the fewest rare tokens of its own.  Most of a
    cluster meets in one component, with as many pairs as members.
 4. Group pairs.  What is left are pairs from different components: posting lists are collapsed to
    (group, component), paired, filtered by size, shared tokens and position, then expanded to
@@ -241,13 +242,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     heads = members.where("rep = gid").select(F.col("gid").alias("id"), "n", "m")
     prefixes = sigs.select("id", F.col("n"), "prefix").join(heads, ["id", "n"]).dropDuplicates(["id", "n"])
     index = prefixes.select(F.col("id").alias("gid"), "n", "m", F.posexplode("prefix").alias("pos", "token"))
-    lists = index.groupBy("token").agg(F.sum("m").alias("k"), F.min(F.struct("gid", "n")).alias("hub")).where("k > 1")
+    lists = index.groupBy("token").agg(F.sum("m").alias("k"), F.min(F.struct("pos", "gid", "n")).alias("hub")).where("k > 1")
     posts = materialize(index.join(lists.select("token", "hub"), "token"), "posts")
 
-    # 3. everyone against the smallest group of each list
+    # 3. everyone against one group of each list
     hubs = posts.where("gid <> hub.gid or m > 1").groupBy("gid", "n", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.count("*").alias("shared"))
     hubs = hubs.where(_alike(F.col("n"), F.col("hub_n"), num, den) & (F.col("shared") >= F.least(_enough(F.col("n"), num, den), _enough(F.col("hub_n"), num, den))))
-    pairs = hubs.join(members.select("rep", "gid", "n"), ["gid", "n"]).where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = hubs.join(members.select("rep", "gid", "n"), ["gid", "n"]).where("rep <> hub").select(F.greatest("hub", "rep").alias("a"), F.least("hub", "rep").alias("b")).distinct()
     links = materialize(_verified(docs, materialize(pairs, "hubs"), n, num, den), "links")
     label = components(links)
 
