@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_rank, materialize
+from .common import global_rank
 
 BINS = 4096
 

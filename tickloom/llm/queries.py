@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, dedup, embeddings, mixing, ngrams, packing, sharding, tokens, toxicity, urls
+from . import codec, common, dedup, embeddings, mixing, ngrams, packing, sharding, tokens, toxicity, urls
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of documents by their token counts."""
     counts = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(packing.materialize(counts.select("doc_id", "n_tokens"), "lengths"))
+    return packing.pack(common.materialize(counts.select("doc_id", "n_tokens"), "lengths"))
 
 
 def op2_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
