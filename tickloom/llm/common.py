@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 _HELD: dict[str, Callable[[], None]] = {}
 
 
+def trim() -> None:
+    """Gives memory that a worker process has freed back to the system; called at a task's end, as
+    the worker stays for later ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sole_cache(name: str, clear: Callable[[], None]) -> None:
     """Says that a worker process now fills this cache: those of other operators are emptied, so a
     worker that serves several stages holds one cache at a time."""
@@ -21,6 +34,12 @@ def sole_cache(name: str, clear: Callable[[], None]) -> None:
     _HELD[name] = clear
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Makes Spark hand whole texts to Python in record batches of so many rows: the default of 10000
+    is meant for narrow rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -35,16 +54,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     executor can reread it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that df does not have."""
-    have = {c.lower() for c in df.columns}
-    name = stem
-    while name.lower() in have:
-        name = f"_{name}"
-    return name
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -98,7 +118,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    seen, last = None, e
     while True:
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == seen:
@@ -112,3 +132,5 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         star = e.join(least, "u")
         e = star.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = materialize(e, "edges")
+        discard(last)
+        last = e

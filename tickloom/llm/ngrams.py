@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, partitions, sole_cache
+from .common import components, discard, materialize, partitions, sole_cache, text_batches, trim
 from .tokens import batches
 
 HEAVY_FROM = 16
@@ -44,7 +44,7 @@ class _Words(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         v = self[w] = xxhash.xxh64_intdigest(w)
         return v
@@ -207,7 +207,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
 
     one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
     two = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    return two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "u long, v long")
+    links = materialize(two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "u long, v long"), "links")
+    discard(needed, sets)
+    return links
 
 
 def _alike(x: Column, y: Column, num: int, den: int) -> Column:
@@ -228,10 +230,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     num, den = percent, 100
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     buckets = max(256, 4 * partitions(spark))
     order = spark.sparkContext.broadcast(_Order(heavy_tokens(docs, n, buckets)))
     sigs = materialize(signatures(docs, n, num, den, order), "signatures")
+    order.destroy()
+    trim()
     slim = sigs.where("n > 0 and id is not null").select("id", "n", "s1", "s2", "p")
 
     equal = slim.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("p").alias("p"))
@@ -249,7 +254,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     hubs = posts.where("gid <> hub.gid or m > 1").groupBy("gid", "n", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.count("*").alias("shared"))
     hubs = hubs.where(_alike(F.col("n"), F.col("hub_n"), num, den) & (F.col("shared") >= F.least(_enough(F.col("n"), num, den), _enough(F.col("hub_n"), num, den))))
     pairs = hubs.join(members.select("rep", "gid", "n"), ["gid", "n"]).where("rep <> hub").select(F.greatest("hub", "rep").alias("a"), F.least("hub", "rep").alias("b")).distinct()
-    links = materialize(_verified(docs, materialize(pairs, "hubs"), n, num, den), "links")
+    links = _verified(docs, materialize(pairs, "hubs"), n, num, den)
     label = components(links)
 
     # 4. pairs of groups in different components
@@ -272,7 +277,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     found = met.join(pa_, "gid_a").join(pb, "gid_b").where(shared >= F.least(_enough(F.col("n_a"), num, den), _enough(F.col("n_b"), num, den)))
     ra, rb = (of.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "comp")]) for x, s in (("a", "a"), ("b", "b")))
     pairs = found.join(ra, ["gid_a", "n_a", "comp_a"]).join(rb, ["gid_b", "n_b", "comp_b"]).select("a", "b").distinct()
-    more = materialize(_verified(docs, materialize(pairs, "pairs"), n, num, den), "links")
+    more = _verified(docs, materialize(pairs, "pairs"), n, num, den)
 
     label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
     final = equal.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))

@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import sole_cache
+from .common import sole_cache, text_batches, trim
 
 NONE = np.int64(2**62)
 CACHE = 1_000_000
@@ -165,6 +165,7 @@ def batches(table: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -
         for i, j in zip(cuts, cuts[1:], strict=False):
             if j > i:
                 yield b.slice(int(i), int(j - i))
+    trim()
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,6 +185,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
+    text_batches(docs.sparkSession)
     slim = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
     kind = slim.schema["doc_id"].dataType.simpleString()
     return slim.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

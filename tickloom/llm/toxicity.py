@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sole_cache
+from .common import sole_cache, text_batches, trim
 from .tokens import batches
 
 WORD = re.compile(r"\w+")
@@ -27,7 +27,7 @@ TOKEN = re.compile(r"\w+|[\"“”„«»]")
 QUOTES = frozenset("\"“”„«»")
 WINDOW = 10
 LEAST_FUZZY = 5
-KEEP = 500_000
+KEEP = 300_000
 EXACT, FUZZY, STEM = 1, 2, 3
 
 
@@ -289,7 +289,10 @@ def train(docs: DataFrame, labels: DataFrame, lexicon: list[str] = (), most_rows
     if 0 < sum(y) < len(y):
         x = np.vstack([scorer.all_features(texts[i : i + 500]) for i in range(0, len(texts), 500)])
         scorer.weights = fit_weights(x, np.array(y, dtype=float))
-    return Scorer(FuzzyLexicon(terms, stems), scorer.weights)
+    weights = scorer.weights
+    del table, texts, scorer
+    trim()
+    return Scorer(FuzzyLexicon(terms, stems), weights)
 
 
 _LOADED: dict[bytes, Scorer] = {}
@@ -308,6 +311,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, id_col: str =
 
     Null text scores as empty.  Repeated rows give repeated rows; an empty table none.  Whole texts
     are read, in slices of bounded size."""
+    text_batches(docs.sparkSession)
     state = pickle.dumps((scorer.lexicon.terms, scorer.lexicon.stems, scorer.weights))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -323,6 +327,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, id_col: str =
 
 def reject(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below threshold, with all their columns, in one pass."""
+    text_batches(docs.sparkSession)
     state = pickle.dumps((scorer.lexicon.terms, scorer.lexicon.stems, scorer.weights))
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
