@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, global_rank, materialize
@@ -114,7 +114,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = materialize(docs.select(F.col(id_col).alias("doc_id"), (bytes_of(F.col(text_col)) + overhead).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")), "sized")
     groups = base.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63)).cast("long")).alias("gid"), F.sum("size").alias("size"))
-    prefix = materialize(global_rank(groups, [], ["gid", "digest"], "before", weight="size"), "prefix")
+    prefix = materialize(global_rank(materialize(groups, "groups"), [], ["gid", "digest"], "before", weight="size"), "prefix")
     total, largest = prefix.agg(F.sum("size"), F.max("size")).first()
     if total is None:
         capacity, cuts = 0, []
@@ -124,5 +124,5 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     for c in cuts[:-1]:
         number = number + F.when(F.col("before") >= c, 1).otherwise(0)
     placed = base.join(prefix.select("digest", "before"), "digest").select("doc_id", "size", "text_crc32", number.cast("int").alias("shard"))
-    ranked = global_rank(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot")
+    ranked = global_rank(materialize(placed, "placed"), ["shard"], ["doc_id", "text_crc32", "size"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.lit(capacity).cast("long").alias("capacity"))
