@@ -202,6 +202,24 @@ def test_boundaries_have_least_padding(spark, buckets):
         assert len(g) * g["boundary"].iloc[0] <= 100 and sorted(g["slot"]) == list(range(len(g)))
 
 
+def test_boundaries_fall_between_any_two_of_many_lengths(spark):
+    # 5000 distinct lengths and one huge one: no common length may share a bucket's edge with its neighbours
+    common = [(10, 4000), (11, 3000), (40, 2000)]
+    lengths = [x for x, n in common for _ in range(n)] + list(range(1000, 6000)) + [10**7]
+    df = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_tokens long")
+    got = packing.pack(df, 6).select("n_tokens", "padding").toPandas()
+
+    values, count = np.unique(lengths, return_counts=True)
+    rows, sums = np.cumsum(count), np.cumsum(count * values)
+    best = values * rows - sums
+    for _ in range(5):
+        after = best.copy()
+        for j in range(1, len(values)):
+            after[j] = min(after[j], (best[:j] + values[j] * (rows[j] - rows[:j]) - (sums[j] - sums[:j])).min())
+        best = after
+    assert len(got) == len(lengths) and got["padding"].sum() == best[-1]
+
+
 def test_packing_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (1, 5), (1, 5), (2, 10**6)], "doc_id long, n_tokens long")
     got = packing.pack(df, 3, budget=10).toPandas()
