@@ -499,10 +499,10 @@ def number_tokens(spark, d):
 
 
 def _markdown(spark, d):
-    """Documents with a small table in front, from their own fields."""
+    """Documents with a small table in front of their text, from their own fields."""
     doc = table(spark, d, "documents")
     head = F.concat(F.lit("| id | lang |\n| --- | --- |\n| "), F.col("doc_id"), F.lit(" | "), F.col("lang"), F.lit(" |\n| "), F.col("n_chars"), F.lit(" | "), F.col("source"), F.lit(" |\n\n"))
-    return doc.select("doc_id", F.concat(head, F.lit("end")).alias("text"))
+    return doc.select("doc_id", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
 
 
 def markdown_table(spark, d):
