@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import dedup, mixing, ngrams, packing, tokens, toxicity
-from tickloom.llm.common import materialize
+from tickloom.llm.common import materialize, numbered
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +17,15 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays.  The older half of the id range is the
-    snapshot, the rest the incoming batch.  A row with a null id stays."""
+    """Of equal texts one row stays, that with the largest doc_id (a null one is the smallest; then a
+    content hash decides).  The older half of the id range is the snapshot, the rest the incoming batch."""
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     old = F.coalesce(F.col("doc_id") <= F.lit(None if low is None else (low + high) // 2).cast("long"), F.lit(False))
-    groups = dedup.dedup(docs.where(~old), docs.where(old))
-    return docs.join(groups.where("doc_id <> keep_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "numbered")
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "_content", "_row")
+    keyed = rows.withColumn("_key", key)
+    groups = dedup.dedup(keyed.where(~old), keyed.where(old), id_col="_key")
+    return rows.join(groups.where("not kept").select("doc_id._row"), "_row", "left_anti").select(*docs.columns)
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +35,10 @@ def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document appears once for each copy."""
-    return mixing.emit(docs, mixing.mix(docs, [3, 1, 2], 1.5, 2.0))
+    """Sources at their target weights; a row appears once for each copy, whatever its id."""
+    rows = numbered(docs, "numbered")
+    mixed = mixing.mix(rows, [3, 1, 2], 1.5, 2.0, keys=("_content", "_row"))
+    return mixing.emit(rows, mixed, "_row").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -158,6 +159,28 @@ def test_mix_of_nothing_and_of_empty_texts(spark, empty):
     assert [(r["taken"], r["target"]) for r in got] == [(0, 0.0), (0, 0.0)]
 
 
+def test_mix_emits_rows_with_null_and_repeated_ids(spark):
+    ids = [None, None, 5, 5, 5, *range(10, 400)]
+    docs = spark.createDataFrame([(i, text(k if k != 3 else 2, 5 + k % 9), "en", "ab"[k % 2], k if k != 3 else 2) for k, i in enumerate(ids)], SCHEMA)
+    mixed = mixing.mix(docs, [3, 1, 2], 1.5, 2.0).toPandas()
+    got = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    got = got.select("doc_id", "source", mixing.words_in(F.col("text")).alias("size")).toPandas()
+    assert len(got) == mixed["copies"].sum()
+    for s, g in mixed.groupby("source"):
+        assert got["size"][got["source"] == s].sum() == g["taken"].sum() and abs(g["taken"].sum() - g["target"].iloc[0]) <= 26
+    assert (got["doc_id"] == 5).sum() == mixed["copies"][mixed["doc_id"] == 5].sum() > 0
+    assert got["doc_id"].isna().sum() == mixed["copies"][mixed["doc_id"].isna()].sum() > 0
+
+
+def test_exact_dedup_stage_keeps_one_row_of_a_text(spark):
+    data = [(1, "a"), (2, "a"), (3, "b"), (3, "b"), (None, "c"), (None, "c"), (None, "a"), (7, "d"), (7, "a"), (8, "e"), (8, "f"), (9, "e"), (0, None), (4, ""), (None, "g")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA).repartition(3)
+    got = corpus_pipeline.exact_dedup_stage(spark, docs, "")
+    want = [(7, "a"), (3, "b"), (None, "c"), (7, "d"), (9, "e"), (8, "f"), (4, ""), (None, "g")]
+    assert got.columns == docs.columns and sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in got.collect())
+
+
 # ---------------------------------------------------------------- token counts, packing
 
 

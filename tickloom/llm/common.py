@@ -59,6 +59,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df written with two columns more: _row, a number no other row has, and _content, a hash of the
+    row that does not depend on how rows are dealt out.  Columns without an order (maps) are not hashed."""
+    plain = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    return materialize(df.withColumns({"_content": F.xxhash64(*plain), "_row": F.monotonically_increasing_id()}), name)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize() wrote and that nothing reads any more."""
     for t in tables:

@@ -30,7 +30,7 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: fl
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keys: tuple[str, ...] = ()) -> DataFrame:
     """How often each row of docs goes into the mix: (id, source, size, source_size, target, copies, taken).
 
     A document's expected copies are target / source_size.  Documents of a source stand in order
@@ -39,13 +39,15 @@ def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, c
     and it is emitted once for each.  Order by size makes the words taken come within about one
     long document of the target.  Copies are the floor or ceiling of target / source_size.
 
-    Size is the number of words (null text: 0).  Null is a source like any other.  Repeated ids
-    are rows of their own, told apart by a content hash; identical rows are interchangeable.  A source of size 0 has
-    target 0 and gives no copies.  An empty table gives no rows.  Only the columns named are read.
+    Size is the number of words (null text: 0).  Null is a source like any other.  Repeated and
+    null ids are rows of their own; those of equal source and size are interchangeable here.  ``keys``
+    are columns that tell them apart (as of numbered()): they decide after the id, and are kept.  A
+    source of size 0 has target 0 and gives no copies.  An empty table gives no rows.  Only the
+    columns named are read.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    slim = docs.select(*keys, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
     slim = materialize(slim, "sizes")  # texts are read once; dealing rows out samples them first
-    ranked = global_rank(slim, ["source"], ["size", "doc_id"], "_rank")
+    ranked = global_rank(slim, ["source"], ["size", "doc_id", *keys], "_rank")
     sizes = ranked.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, list(weights), share, cap).select(F.col("source").alias("_s"), "source_size", "target")
     joined = ranked.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -53,11 +55,12 @@ def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, c
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("\x00null")))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     crossed = F.floor((F.col("_rank") + 1) * F.col("_e") + F.col("_u")) - F.floor(F.col("_rank") * F.col("_e") + F.col("_u"))
     out = joined.withColumns({"_e": rate, "_u": offset}).withColumn("copies", crossed.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(*keys, "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mix itself: every row of docs as often as ``mixed`` says, all columns of docs.
-    Documents with no copies go.  Ids must be unique in docs."""
-    n = mixed.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("copies").alias("_n"))
+    Documents with no copies go.  ``id_col`` must be unique and not null in docs: doc_id, or one of
+    the ``keys`` that mix() kept."""
+    n = mixed.where("copies > 0").select(F.col("doc_id" if id_col not in mixed.columns else id_col).alias("_id"), F.col("copies").alias("_n"))
     return docs.join(n, docs[id_col] == F.col("_id")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
