@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from tickloom.operators import estimators as E
 from tickloom.operators import relation as R
 from tickloom.operators import resample as S
 from tickloom.operators import simulate as M
+from tickloom.plans import queries
 from tickloom.plans import studies as Q
 from tickloom.schema import PAIRED
 
@@ -198,6 +200,25 @@ def test_sparse_sampling_misleads_when_held(spark):
     assert got["hold"]["false_lead"] * 12 >= 10 and got["drop"]["false_lead"] * 12 <= 4
 
 
+def test_queries_simulate_and_resample_in_full(spark, monkeypatch):
+    every = queries.queries()
+    assert every["sim_calibration"](spark, "").count() == 96
+    got = every["calibration_summary"](spark, "").first()
+    assert (got["clear_runs"], got["close_runs"]) == (60, 12)
+    assert {(r["scheme"], r["runs"]) for r in every["sim_staleness"](spark, "").collect()} == {("hold", 40), ("drop", 40)}
+    assert every["sim_staleness"](spark, "").count() == 16
+    matched = {(r["n"], r["keep"], r["seed"]): r for r in every["sim_staleness_matched"](spark, "").collect()}
+    assert len(matched) == 360 and matched[4000, 0.5, 0]["w_cex"] == pytest.approx(0.1368908299, abs=1e-6)
+    assert not all(r["fitted"] for r in matched.values())
+    assert all(r["fitted"] == (r["w_cex"] is not None) for r in matched.values())
+    d = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if os.path.isdir(d):
+        assert every["perm_spearman_full"](spark, d).first()["draws"] == 20000
+        assert every["robustness_full"](spark, d).count() == every["robustness"](spark, d).count()
+    monkeypatch.setattr(queries, "logs", lambda spark, d: E.log_prices(simulated(spark, 600)))
+    assert [r["draws"] for r in every["bootstrap_lead_full"](spark, d).collect()] == [400]
+
+
 def test_simulator_as_a_table_function(spark):
     M.register(spark)
     got = spark.sql("SELECT * FROM simulate_pair(5, 0.0D, 0.4D, 0.0005D, 0.0D, 0)").orderBy("t").collect()

@@ -23,11 +23,6 @@ from .plans import studies as Q
 from .schema import COVERAGE, MIN_OVERLAP, UNIVERSE
 from .sources import tables as T
 
-#: FIXED VALUES: speeds, seeds, lengths and shares kept of the published simulations.
-SPEEDS = [(0.0, 0.4), (0.05, 0.4), (0.1, 0.4), (0.2, 0.4), (0.25, 0.25), (0.3, 0.3), (0.4, 0.1), (0.4, 0.05)]
-SEEDS, KEEPS, MATCHED = 12, [1.0, 0.8, 0.6, 0.45, 0.3, 0.2, 0.1, 0.05], ([250, 1000, 4000], [0.5, 0.25, 0.12])
-
-
 def series(spark: SparkSession, raw: str, windows: list[str]) -> DataFrame:
     return reduce(DataFrame.union, [T.read_series_csv(spark, f"{raw}/{w}", w) for w in windows])
 
@@ -40,7 +35,7 @@ def ranked(paired: DataFrame) -> DataFrame:
     return Q.enough(paired)
 
 
-def permutations(spark: SparkSession, volumes: DataFrame, windows: list[str], draws: int = 20000) -> DataFrame:
+def permutations(spark: SparkSession, volumes: DataFrame, windows: list[str], draws: int = S.PERMUTATIONS) -> DataFrame:
     """Permutation p-values of activity against ratio, a window at a time (each a small table)."""
     from .functions.numeric import average_rank
 
@@ -55,11 +50,11 @@ def permutations(spark: SparkSession, volumes: DataFrame, windows: list[str], dr
 def run(spark: SparkSession, study: str, raw: str, windows: list[str]) -> tuple[DataFrame, list[str]]:
     """(result, its sort keys)."""
     if study == "calibration":
-        return M.calibration(spark, SPEEDS, SEEDS), ["adjust_a", "adjust_b", "seed"]
+        return M.calibration(spark, M.SPEEDS, M.SEEDS), ["adjust_a", "adjust_b", "seed"]
     if study == "staleness":
-        return M.staleness(spark, [4000], KEEPS, 40), ["scheme", "keep", "seed"]
+        return M.staleness(spark, [4000], M.KEEPS, M.RUNS), ["scheme", "keep", "seed"]
     if study == "staleness_matched":
-        return M.staleness(spark, *MATCHED, 40, schemes=("drop",), shift=7000), ["n", "keep", "seed"]
+        return M.staleness(spark, *M.MATCHED, M.RUNS, schemes=("drop",), shift=7000), ["n", "keep", "seed"]
     paired = series(spark, raw, windows)
     cover = lambda: tables(spark, raw, windows, "coverage", COVERAGE)
     if study == "robustness":

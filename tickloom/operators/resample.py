@@ -13,6 +13,7 @@ from .bars import KEYS
 from .estimators import _solved, solve, vecm_columns, vecm_design
 
 DRAWS = 400
+PERMUTATIONS = 20000
 LEVEL = 0.90
 
 

@@ -20,6 +20,9 @@ from .estimators import solve
 
 #: FIXED VALUE: standard deviation of the common innovation.
 INNOVATION = 0.002
+#: FIXED VALUES: speeds, seeds, lengths and shares kept of the published simulations.
+SPEEDS = [(0.0, 0.4), (0.05, 0.4), (0.1, 0.4), (0.2, 0.4), (0.25, 0.25), (0.3, 0.3), (0.4, 0.1), (0.4, 0.05)]
+SEEDS, KEEPS, MATCHED, RUNS = 12, [1.0, 0.8, 0.6, 0.45, 0.3, 0.2, 0.1, 0.05], ([250, 1000, 4000], [0.5, 0.25, 0.12]), 40
 
 
 def prices(n: int, adjust_a: float, adjust_b: float, venue_shock: float, noise: float, seed: int) -> tuple[np.ndarray, np.ndarray]:

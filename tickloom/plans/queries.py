@@ -179,21 +179,32 @@ def venue_matrix(spark, d):
     return m.select("venue_a", "venue_b", "minutes", "moves_a", "moves_b", tidy(F.col("speed_a")).alias("speed_a"), tidy(F.col("speed_b")).alias("speed_b"))
 
 
-def robustness(spark, d):
-    """The flagship: every check in one plan."""
+def robustness(spark, d, draws=100):
+    """The flagship: every check in one plan.  The statement fixes 100 draws; robustness_full has all."""
     b = bars(spark, d)
-    r = Q.robustness(B.pair_up(b, 0, 1), B.coverage(b, 0, 1, HOUR), draws=100)
+    r = Q.robustness(B.pair_up(b, 0, 1), B.coverage(b, 0, 1, HOUR), draws=draws)
     return r.select("symbol", "paired_minutes", "fill_rate", "consecutive_share", "median_gap_min", "max_gap_min", tidy(F.col("adf")).alias("adf"), "stationary", tidy(F.col("speed_a")).alias("speed_a"), tidy(F.col("speed_b")).alias("speed_b"), tidy(F.col("is_low"), 4).alias("is_low"), tidy(F.col("is_high"), 4).alias("is_high"), tidy(F.col("rho")).alias("rho"), tidy(F.col("lead_share")).alias("lead_share"), "speeds_separated", "agree", "verdict")
 
 
+def robustness_full(spark, d):
+    """With the published number of bootstrap draws."""
+    return robustness(spark, d, S.DRAWS)
+
+
 # ------------------------------------------------------------------ resampling
 
 
-def bootstrap_lead(spark, d):
-    s = S.bootstrap_summary(S.bootstrap_fits(logs(spark, d), 100))
+def bootstrap_lead(spark, d, draws=100):
+    """The statement fixes 100 draws; bootstrap_lead_full has all."""
+    s = S.bootstrap_summary(S.bootstrap_fits(logs(spark, d), draws))
     return s.select("symbol", "draws", tidy(F.col("lead_share")).alias("lead_share"), *[tidy(F.col(c)).alias(c) for c in ("speed_a_low", "speed_a_high", "speed_b_low", "speed_b_high")], "speeds_separated")
 
 
+def bootstrap_lead_full(spark, d):
+    """With the published number of draws."""
+    return bootstrap_lead(spark, d, S.DRAWS)
+
+
 def _customers(spark, d):
     """Orders and account volume of the nations' customers: a stand-in for activity and volume."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
@@ -202,13 +213,19 @@ def _customers(spark, d):
     return per.groupBy(F.col("c_nationkey").alias("id")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("paired_min"), F.round(F.coalesce(F.sum("v"), F.lit(0.0))).alias("cex_vol"), F.round(F.sum("c_acctbal")).alias("dex_vol"), F.count("*").alias("liquidity"))
 
 
-def perm_spearman(spark, d):
+def perm_spearman(spark, d, draws=2000):
+    """The statement fixes 2000 permutations; perm_spearman_full has all."""
     v = _customers(spark, d).withColumn("ratio", B.premium_ratio(F.col("cex_vol"), F.col("dex_vol")))
     r = v.select("id", N.average_rank("paired_min").alias("rx"), N.average_rank("ratio").alias("ry"))
-    p = S.permutation_test(r, 2000, 0)
+    p = S.permutation_test(r, draws, 0)
     return p.select(tidy(F.col("rho")).alias("rho"), tidy(F.col("p_value")).alias("p_value"), "n", "draws")
 
 
+def perm_spearman_full(spark, d):
+    """With the published number of permutations."""
+    return perm_spearman(spark, d, S.PERMUTATIONS)
+
+
 # ------------------------------------------------------------------ relations
 
 
@@ -607,15 +624,21 @@ def table_compare(spark, d):
 
 
 def sim_calibration(spark, d):
-    return M.calibration(spark, [(0.0, 0.4), (0.1, 0.3), (0.2, 0.2), (0.4, 0.0)], 3)
+    return M.calibration(spark, M.SPEEDS, M.SEEDS)
 
 
 def calibration_summary(spark, d):
-    return M.calibration_summary(M.calibration(spark, [(0.0, 0.4), (0.1, 0.3), (0.2, 0.2), (0.4, 0.0)], 3))
+    return M.calibration_summary(M.calibration(spark, M.SPEEDS, M.SEEDS))
 
 
 def sim_staleness(spark, d):
-    return M.false_lead_curve(M.staleness(spark, [4000], [1.0, 0.6, 0.3], 4))
+    return M.false_lead_curve(M.staleness(spark, [4000], M.KEEPS, M.RUNS))
+
+
+def sim_staleness_matched(spark, d):
+    """Every run at the lengths of real pairs; one too short to fit stays, without a weight."""
+    r = M.staleness(spark, *M.MATCHED, M.RUNS, schemes=("drop",), shift=7000)
+    return r.select("n", "keep", "seed", "rows", tidy(F.col("weight_a")).alias("w_cex"), F.col("speed_a").isNotNull().alias("fitted"))
 
 
 def stream_pairs(spark, d):
@@ -635,13 +658,13 @@ def stream_pairs(spark, d):
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bars_close, paired_bars, coverage, spacing, moves_premium, session_regimes, gap_changes, realign, dense_lag_profile, grid_resample, forward_fill, thin_drop, thin_hold, orders_paired,
-    vecm_fit, vecm_lag_sweep, vecm_grid, vecm_sessions, vecm_threshold, vecm_orders, hasbrouck, adf_spread, vector_check, alignment, session_panel, venue_matrix, robustness,
-    bootstrap_lead, perm_spearman, spearman_ratio, group_buckets, strict_tally, token_dependence, pair_spine, effective_pairs, sign_test, windows_leadership, replication, lead_tally, staleness_risk,
+    vecm_fit, vecm_lag_sweep, vecm_grid, vecm_sessions, vecm_threshold, vecm_orders, hasbrouck, adf_spread, vector_check, alignment, session_panel, venue_matrix, robustness, robustness_full,
+    bootstrap_lead, bootstrap_lead_full, perm_spearman, perm_spearman_full, spearman_ratio, group_buckets, strict_tally, token_dependence, pair_spine, effective_pairs, sign_test, windows_leadership, replication, lead_tally, staleness_risk,
     floor_summary, alignment_summary, pivot_lags, lag_flips, closed_share, regime_crossing, median_split, pass_window, checks_table,
     topup_anti, semi_ranked, key_sets, order_contract, top_gaps, wide_windows, json_layouts, page_overlap, universe_screen, deepest_pools, impostors, registry_check,
     issuer_list, pool_search, universe_build, group_medians, rolling_sums, sets_disjoint, mirror_drift, simulated_pair,
     text_flatten, phrase_presence, number_tokens, markdown_table, html_cells, page_links, html_report, spelled_numbers, prose_blocks, compound_rejoin, link_heal, wrap, spoken_dates, ascii_scan, fenced_commands,
-    claims_check, claims_tally, direction_check, table_compare, sim_calibration, calibration_summary, sim_staleness, stream_pairs,
+    claims_check, claims_tally, direction_check, table_compare, sim_calibration, calibration_summary, sim_staleness, sim_staleness_matched, stream_pairs,
 ]
 
 
