@@ -408,6 +408,12 @@ def test_labels_held_out_are_not_learned_from(spark):
     assert a.lexicon.terms == b.lexicon.terms and np.allclose(a.weights, b.weights)
 
 
+def test_densest_window_may_stand_anywhere():
+    scorer = toxicity.Scorer(toxicity.FuzzyLexicon(["vilest"], []))
+    far = " ".join(["vilest " + "x " * 20] * 300) + " vilest" * 7
+    assert scorer.all_features([far])[0][5] == pytest.approx(np.log1p(7))
+
+
 def test_misspellings_count_and_quotations_do_not():
     s = toxicity.Scorer(toxicity.FuzzyLexicon(["blorgon"], []), toxicity.PRIOR)
     plain, quoted, misspelt, clean = s.scores(["you blorgon", 'they said "you blorgon" to me', "you blorgan", "you are"])

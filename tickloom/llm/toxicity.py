@@ -167,7 +167,11 @@ class Scorer:
                 else:
                     kinds[m] += 1
                     places.append(n)
-        densest = max((sum(1 for q in places[j:] if q - p < WINDOW) for j, p in enumerate(places[:200])), default=0)
+        densest = first = 0
+        for j, p in enumerate(places):
+            while p - places[first] >= WINDOW:
+                first += 1
+            densest = max(densest, j - first + 1)
         out = sum(kinds)
         return np.array([1.0, math.log1p(kinds[EXACT]), math.log1p(kinds[FUZZY]), math.log1p(kinds[STEM]), math.log1p(inside), math.log1p(densest), 100.0 * out / max(n, 30), float(kinds[EXACT] + kinds[STEM] > 0)])
 
