@@ -564,7 +564,7 @@ def compound_rejoin(spark, d):
 
 def link_heal(spark, d):
     text = F.concat(F.lit("see [x](http://a.b/"), F.col("user_id"), F.lit("\n/c "), F.col("event_type"), F.lit(") and ("), F.col("user_id"), F.lit(" d)"))
-    return table(spark, d, "events").select("event_id", X.heal_links(text, 3).alias("healed"))
+    return table(spark, d, "events").select("event_id", X.heal_links(text).alias("healed"))
 
 
 def wrap(spark, d):
