@@ -75,6 +75,39 @@ def test_dedup_can_normalise(docs):
     assert [r["keep_id"] for r in got] == [8, 8]
 
 
+def test_dedup_of_null_and_repeated_ids(spark):
+    data = [(None, "a"), (None, "a"), (5, "b"), (5, "b"), (5, "b"), (6, None), (None, ""), (7, "c"), (7, "d")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for old in ("doc_id = 5", "doc_id is null", "text = 'b' and false"):
+        was = F.coalesce(F.expr(old), F.lit(False))
+        got = dedup.dedup(df.where(~was), df.where(was)).collect()
+        kept = sorted((r["text_sha256"], r["doc_id"] or 0) for r in got if r["kept"])
+        assert kept == sorted((hashlib.sha256(t.encode()).hexdigest(), i) for t, i in [("a", 0), ("b", 5), ("", 6), ("c", 7), ("d", 7)])
+        assert len(got) == len(data) and all(r["kept"] is not None for r in got)
+
+
+def test_a_snapshot_serves_several_batches(spark, docs, tmp_path):
+    old = docs.where("doc_id <= 50")
+    made = dedup.write_snapshot(old, str(tmp_path / "s"))
+    again = dedup.open_snapshot(spark, str(tmp_path / "s"))
+    assert again.buckets == made.buckets and again.filters.count() == made.filters.count() > 0
+    for batch in (docs.where("doc_id > 50"), docs.where("doc_id > 150")):
+        got, want = dedup.dedup_against(batch, again, old), dedup.dedup(batch, old)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    (tmp_path / "half").mkdir()
+    with pytest.raises(Exception):  # noqa: B017
+        dedup.open_snapshot(spark, str(tmp_path / "half"))
+
+
+@pytest.mark.parametrize("most", [0, 1 << 18])
+def test_colliding_digests_are_told_apart_by_bytes(spark, monkeypatch, most):
+    monkeypatch.setattr(dedup, "SCREEN_BLOCKS", most)
+    monkeypatch.setattr(dedup, "_sha", lambda t: F.sha2(F.substring(t, 1, 1), 256))
+    df = spark.createDataFrame([(1, "ab"), (2, "ac"), (3, "ab"), (4, "b"), (5, "ac"), (6, "ad")], "doc_id long, text string")
+    got = {r["doc_id"]: r["keep_id"] for r in dedup.dedup(df.where("doc_id > 2"), df.where("doc_id <= 2")).collect()}
+    assert got == {1: 3, 2: 5, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 7, 100, 5000])
 def test_fuse_filter_has_all_keys_and_few_others(n):
     keys = np.random.default_rng(n).integers(0, 2**63, n).astype(np.uint64)
@@ -143,6 +176,7 @@ def test_mix_meets_targets_and_reruns_agree(spark):
         assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 120 and g["target"].iloc[0] <= 2 * g["source_size"].iloc[0] + 1e-6
     total = got.drop_duplicates(["source"])
     assert total["target"].sum() == pytest.approx(min(1.5 * got["size"].sum(), 2 * got["size"].sum()))
+    df = df.withColumns({c: F.lit("x") for c in ("_id", "_n", "_i", "copies")})
     emitted = mixing.emit(df, mixing.mix(df))
     assert emitted.columns == df.columns and emitted.count() == got["copies"].sum()
 

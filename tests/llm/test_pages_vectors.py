@@ -32,10 +32,11 @@ def test_rules_equal_brute_force(spark):
     found = [None, "", "no scheme", "http://", "http://COM/", "http://com", "https://x.com?q", "http://A.B", "http://x.a.b?y=1", "http://.com/", "http://com.evil/en/", "http://notexample.com/en/", "http://ÀB.com/x#y", "a://b://c.net/es/1"]
     hosts = ["example.com", "www.example.com", "m.www.example.com", "x.net", "net", "org", "a.b", "EXAMPLE.COM"]
     found += [f"http{r.choice(['', 's'])}://{r.choice(hosts)}{r.choice(['', '/', '/en', '/en/', '/en/x', '/es/', '/EN/'])}{r.choice(['', '?a/b', '#c'])}" for _ in range(300)]
-    df = spark.createDataFrame([(i % 50, u, "other") for i, u in enumerate(found)], "page_id long, url string, html string").withColumns({"keys": F.lit(1), "h": F.lit(2), "k": F.lit(3), "rule": F.lit("old")})
+    df = spark.createDataFrame([(i % 50, u, "other") for i, u in enumerate(found)], "page_id long, url string, html string").withColumns({"keys": F.lit(1), "h": F.lit(2), "k": F.lit(3), "rule": F.lit("old"), "_v": F.lit(4), "_verdict": F.lit(5)})
     rules = spark.createDataFrame(RULES + [(None, "/", "block"), ("x", None, "block")], "host string, path string, verdict string")
     got = sorted((r["url"] or "", r["host"], r["path"], r["rule"] or "", r["verdict"]) for r in urls.judge_urls(df, rules).collect())
     assert got == sorted((u or "", *[x or "" for x in brute(u)]) for u in found)
+    assert {"_v", "_verdict"} <= set(urls.judge_urls(df, rules).columns)
 
 
 def test_no_rules_and_no_pages(spark):
@@ -49,10 +50,11 @@ def test_no_rules_and_no_pages(spark):
 def test_filter_passes_all_listed_keys(spark, n):
     keys = spark.range(n).select(F.concat(F.lit("k"), "id").alias("k"))
     blocks = urls.bloom_blocks(n)
-    bloom = urls.build_bloom(keys, blocks).scalar()
-    assert keys.where(urls.in_bloom(bloom, [F.col("k")], blocks)).count() == n
-    other = spark.range(10000).select(F.concat(F.lit("z"), "id").alias("k"))
-    assert other.where(urls.in_bloom(bloom, [F.col("k")], blocks)).count() < 200
+    bloom = urls.build_bloom(keys, blocks)
+    assert bloom.count() <= blocks and urls.in_bloom(keys, [F.col("k")], bloom, blocks).count() == n
+    other = spark.range(10000).select(F.concat(F.lit("z"), "id").alias("k"), F.lit(1).alias("_bloom0"))
+    some = urls.in_bloom(other, [F.col("k")], bloom, blocks)
+    assert some.columns == other.columns and some.count() < 200
 
 
 def test_filter_size_is_bounded():
@@ -111,6 +113,22 @@ def test_distant_intervals_are_skipped():
 # ---------------------------------------------------------------- shared pieces
 
 
+def test_heavy_groups_are_broadcast_and_all_rows_join(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 == 0 else i) for i in range(300)], "i int, k int")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("last"))
+    got = common.join_groups(rows, groups, "k", "n", 300, how_many=20).collect()
+    assert sorted(r["i"] for r in got) == list(range(300)) and all(r["n"] == (100 if r["k"] == 0 else 1) for r in got)
+
+
+def test_batch_size_is_put_back(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with pytest.raises(KeyError), common.text_batches(spark, 7):
+        assert spark.conf.get(name) == "7"
+        raise KeyError
+    assert spark.conf.get(name) == before
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = dict(map(tuple, common.components(spark.createDataFrame(edges, "u long, v long")).collect()))

@@ -352,7 +352,6 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 0, block_tokens: int
     Partitions are ranges of ids, dealt out before the costly encoding.
     The rows are stored as Parquet by Spark's committer: a lost task leaves nothing behind.
     """
-    text_batches(docs.sparkSession, 10000)  # the more texts, the fewer distinct pieces to look up
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = _by_id(slim, partitions(docs.sparkSession)).sortWithinPartitions("doc_id")
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("block", pa.binary())])
@@ -381,7 +380,8 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 0, block_tokens: int
         if names:
             yield flush()
 
-    return materialize(ordered.mapInArrow(run, "part long, seq long, before long, n_docs long, n_tokens long, block binary"), "blocks")
+    with text_batches(docs.sparkSession, 10000):  # the more texts, the fewer distinct pieces to look up
+        return materialize(ordered.mapInArrow(run, "part long, seq long, before long, n_docs long, n_tokens long, block binary"), "blocks")
 
 
 def read_blocks(blocks: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,16 +34,26 @@ def sole_cache(name: str, clear: Callable[[], None]) -> None:
     _HELD[name] = clear
 
 
-def text_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Makes Spark hand whole texts to Python in record batches of so many rows: the default of 10000
-    is meant for narrow rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextlib.contextmanager
+def text_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Inside, Spark hands whole texts to Python in record batches of so many rows: the default of 10000
+    is meant for narrow rows.  Work must be done inside, as by materialize(); the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder named by spark.checkpoint.dir.  Where that is unset, a local one if Spark runs in one
+    process; on a cluster, where executors could not read it, an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tickloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -74,6 +84,30 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: A group with at least this share of the rows is heavy; so there are at most as many heavy groups.
+HEAVY_GROUPS = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int, how_many: int = HEAVY_GROUPS) -> DataFrame:
+    """rows joined to the one row of groups that has their key, where groups has the number ``n`` of rows
+    of each key out of ``total``.
+
+    Groups with more than total / how_many rows are broadcast; there are fewer than ``how_many`` of
+    them, whatever the data.  So no task gets more than its share and one such group, however the rest is dealt."""
+    heavy = groups.where(F.col(n) * how_many > total)
+    light = groups.where(F.col(n) * how_many <= total)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(light, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

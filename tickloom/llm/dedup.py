@@ -1,22 +1,28 @@
 """Exact deduplication of a batch against an immutable snapshot.
 
-Digests of the snapshot go into static binary-fuse filters, one per bucket of digests; a filter is
-built once and never changed.  Incoming digests are grouped first (new-batch duplicates meet
-there), screened by their bucket's filter, and only positives join the exact buckets.  Groups of
-equal digests are then compared byte for byte with the row that stays.
+A snapshot is a folder: its rows' digests, its groups of equal digests, one static binary-fuse
+filter for each bucket of groups, and a manifest that is written last.  It is made once and never
+changed, so batch after batch is screened by the same filters.  Incoming digests are grouped first
+(new-batch duplicates meet there), screened by their bucket's filter, and only positives join
+the exact buckets.  Texts with a common digest are then compared byte for byte.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_groups, materialize, partitions, shared_dir
 from .urls import bloom_blocks, build_bloom, in_bloom
 
-KEYS_PER_FILTER = 2048
+KEYS_PER_FILTER = 1 << 16
+#: Blocks of the screen for the byte check: 19 MB to broadcast, for 8 million digests.
+SCREEN_BLOCKS = 1 << 18
 _M = np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -105,58 +111,123 @@ def bucketed(groups: DataFrame, buckets: int) -> DataFrame:
     return groups.withColumn("bucket", F.pmod(F.conv(F.substring("digest", 17, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
 
 
-def snapshot_filters(groups: DataFrame, buckets: int) -> DataFrame:
-    """One filter row per bucket of a snapshot's distinct digests."""
-    return bucketed(groups.select("digest"), buckets).groupBy("bucket").applyInPandas(_build, "bucket int, seed int, segment int, segments int, prints binary")
+def snapshot_filters(groups: DataFrame) -> DataFrame:
+    """One filter row per bucket of a snapshot's distinct digests, which have their bucket."""
+    return groups.select("digest", "bucket").groupBy("bucket").applyInPandas(_build, "bucket int, seed int, segment int, segments int, prints binary")
+
+
+def _text(normal: Column | None, text_col: str) -> Column:
+    return F.coalesce(normal if normal is not None else F.col(text_col), F.lit(""))
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(text, 256)
+
+
+def _key(text: Column, colliding: list[str]) -> Column:
+    """The digest of a text; with the text itself behind it where texts are known to collide."""
+    return F.when(_sha(text).isin(colliding), F.concat(_sha(text), text)).otherwise(_sha(text)) if colliding else _sha(text)
+
+
+def _digests(df: DataFrame, key: Column, id_col: str) -> DataFrame:
+    """(id, row, digest): row tells rows of equal id apart once the table is written."""
+    return df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), key.alias("digest"))
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("digest").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
+    """(digest, keep, n): the row that stays is the largest (id, row); a null id is the smallest."""
+    return rows.groupBy("digest").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("n"))
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """A finished snapshot: its tables, read from its folder."""
+
+    rows: DataFrame
+    groups: DataFrame
+    filters: DataFrame
+    buckets: int
+    n_rows: int
+
+
+def write_snapshot(docs: DataFrame, path: str, normal: Column | None = None, id_col: str = "doc_id", text_col: str = "text", colliding: list[str] = ()) -> Snapshot:
+    """Writes the snapshot of docs to a new folder.  The manifest comes last: a folder without one is
+    no snapshot, so a writer that was lost leaves nothing that could be taken for one."""
+    spark = docs.sparkSession
+    _digests(docs, _key(_text(normal, text_col), colliding), id_col).write.parquet(f"{path}/rows")
+    grouped = materialize(_grouped(spark.read.parquet(f"{path}/rows")), "grouped")
+    n_rows, n_groups = (x or 0 for x in grouped.agg(F.sum("n"), F.count("*")).first())
+    buckets = max(1, min(partitions(spark), n_groups), -(-n_groups // KEYS_PER_FILTER))
+    bucketed(grouped, buckets).write.parquet(f"{path}/groups")
+    snapshot_filters(spark.read.parquet(f"{path}/groups")).write.parquet(f"{path}/filters")
+    spark.range(1).select(F.lit(1).alias("version"), F.lit(buckets).alias("buckets"), F.lit(n_rows).cast("long").alias("n_rows")).write.parquet(f"{path}/manifest")
+    return open_snapshot(spark, path)
+
+
+def open_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    m = spark.read.parquet(f"{path}/manifest").first()
+    if m["version"] != 1:
+        raise ValueError(f"{path} is not a snapshot of this version")
+    rows, groups, filters = (spark.read.parquet(f"{path}/{t}") for t in ("rows", "groups", "filters"))
+    return Snapshot(rows, groups, filters, m["buckets"], m["n_rows"])
 
 
 def dedup(batch: DataFrame, snapshot: DataFrame, normal: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of batch and snapshot.
 
     Texts are equal when identical after ``normal`` (no change by default).  Null counts as the
-    empty text.  Of equal texts the row with the largest id stays, wherever it is.  Repeated ids
-    are rows of their own and are all kept together.  Empty tables give no rows.  Other columns
-    are not read.  If two texts share a SHA-256, the byte check puts them in groups of their own.
+    empty text.  Of equal texts the row with the largest id stays, wherever it is; a null id is
+    smaller than any.  Of rows with equal texts and that same id one stays and the others go, so
+    exactly one row of a group has ``kept``, which is never null; keep_id is null only where all ids of
+    a group are.  Empty tables give no rows.  Other columns are not read.  If two texts share a
+    SHA-256, the byte check puts them in groups of their own.
     """
-    text = F.coalesce(normal if normal is not None else F.col(text_col), F.lit(""))
-
-    def rows(df: DataFrame) -> DataFrame:
-        return df.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("digest"))
-
-    both = materialize(rows(batch).withColumn("old", F.lit(False)).union(rows(snapshot).withColumn("old", F.lit(True))), "digests")
-    new, old = materialize(_grouped(both.where("not old")), "incoming"), materialize(_grouped(both.where("old")), "snapshot")
-    buckets = max(1, -(-old.count() // KEYS_PER_FILTER))
-    filters = snapshot_filters(old, buckets)
-    screened = bucketed(new.select("digest"), buckets).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen, "digest string")
-    exact = screened.join(old.select("digest", F.col("keep").alias("k0"), F.col("n").alias("n0")), "digest")
-    met = materialize(exact, "met")
+    spark = batch.sparkSession
+    made = write_snapshot(snapshot, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}", normal, id_col, text_col)
+    return dedup_against(batch, made, snapshot, normal, id_col, text_col)
+
+
+def dedup_against(batch: DataFrame, made: Snapshot, snapshot: DataFrame, normal: Column | None = None, id_col: str = "doc_id", text_col: str = "text", colliding: list[str] = ()) -> DataFrame:
+    """dedup() of a batch with the finished snapshot of a table; the table itself is read only for
+    the byte check.
+
+    Any group may hold a third of all rows: groups are partial aggregates, the few large ones are
+    broadcast back to their rows, and for the byte check every task sends a text once."""
+    spark = batch.sparkSession
+    text = _text(normal, text_col)
+    # rows of the batch are numbered apart from those of the snapshot
+    incoming = materialize(_digests(batch, _key(text, colliding), id_col).withColumn("row", -1 - F.col("row")), "digests")
+    new = materialize(_grouped(incoming), "incoming")
+    buckets = made.buckets
+    screened = bucketed(new.select("digest"), buckets).groupBy("bucket").cogroup(made.filters.groupBy("bucket")).applyInPandas(_screen, "digest string")
+    old = made.groups.select("digest", "keep", "n")
+    met = materialize(screened.join(old.withColumnsRenamed({"keep": "k0", "n": "n0"}), "digest"), "met")
     new_groups = new.join(met, "digest", "left").select("digest", F.greatest("keep", "k0").alias("keep"), (F.col("n") + F.coalesce("n0", F.lit(0))).alias("n"))
-    old_only = old.join(met, "digest", "left_anti").select("digest", "keep", "n")
-    groups = materialize(new_groups.union(old_only), "groups")
-    odd = _differing(batch, snapshot, groups.where("n > 1"), text, id_col)
-    joined = both.join(groups, "digest").select("id", "keep", "n", "digest")
-    n_odd = odd.count()
-    if n_odd:
-        fix = odd.join(odd.groupBy("digest", "text").agg(F.max("id").alias("keep2"), F.count("*").alias("n2")), ["digest", "text"]).select("id", "digest", "keep2", "n2")
-        lost = odd.groupBy("digest").agg(F.count("*").alias("lost"))
-        joined = joined.join(fix, ["id", "digest"], "left").join(lost, "digest", "left").select("id", F.coalesce("keep2", "keep").alias("keep"), F.coalesce("n2", F.col("n") - F.coalesce("lost", F.lit(0))).alias("n"), "digest")
-    return joined.select(F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("n").cast("long").alias("group_size"), (F.col("id") == F.col("keep")).alias("kept"), F.col("digest").alias("text_sha256"))
-
-
-def _differing(batch: DataFrame, snapshot: DataFrame, shared: DataFrame, text: Column, id_col: str) -> DataFrame:
-    """(id, digest, text) of rows whose bytes differ from those of the row that stays.
-
-    Only texts whose digest occurs twice are needed: a blocked Bloom filter over the shared digests
-    is applied in the scan, so the others are never shuffled."""
-    blocks = bloom_blocks(shared.count())
-    bloom = build_bloom(shared.select("digest"), blocks).scalar()
-    all_rows = batch.select(F.col(id_col).alias("id"), text.alias("text")).union(snapshot.select(F.col(id_col).alias("id"), text.alias("text")))
-    rows = all_rows.withColumn("digest", F.sha2("text", 256)).where(in_bloom(bloom, [F.col("digest")], blocks))
-    members = rows.join(shared.select("digest", "keep"), "digest")
-    stay = rows.join(shared.select("digest", F.col("keep").alias("id")), ["digest", "id"]).groupBy("digest").agg(F.first("text").alias("stay"))
-    stay = materialize(stay, "stay")  # so that the join can split a large group
-    return materialize(members.join(stay, "digest").where(F.col("text") != F.col("stay")).select("id", "digest", "text"), "differing")
+    groups = materialize(new_groups.union(old.join(met, "digest", "left_anti")), "groups")
+    both = incoming.union(made.rows.select(*incoming.columns))
+    total = made.n_rows + (new.agg(F.sum("n")).first()[0] or 0)
+
+    shared = groups.where("n > 1").select("digest")
+    texts = batch.select(text.alias("text")).union(snapshot.select(text.alias("text"))).select(_key(F.col("text"), colliding).alias("digest"), "text")
+    odd = differing(texts, shared, shared.count())
+    if odd:
+        again = [*colliding, *odd]
+        apart = write_snapshot(snapshot, f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}", normal, id_col, text_col, again)
+        return dedup_against(batch, apart, snapshot, normal, id_col, text_col, again)
+    joined = join_groups(both, groups, "digest", "n", total)
+    return joined.select(F.col("id").alias("doc_id"), F.col("keep.id").alias("keep_id"), F.col("n").cast("long").alias("group_size"), (F.col("row") == F.col("keep.row")).alias("kept"), F.substring("digest", 1, 64).alias("text_sha256"))
+
+
+def differing(texts: DataFrame, shared: DataFrame, n_shared: int) -> list[str]:
+    """The byte check: those digests with several texts, of (digest, text) rows.  None is to be expected.
+
+    A blocked Bloom filter over the digests that occur twice is applied in the scan, so other texts
+    are never shuffled.  Its size is checked: above SCREEN_BLOCKS there is no screen, and every
+    distinct text of a task is sent once.  Equal texts of a task meet before the exchange, so a
+    text that a third of all rows share is sent once by each task."""
+    blocks = bloom_blocks(n_shared, max_blocks=1 << 40)
+    if not n_shared:
+        return []
+    some = in_bloom(texts, [F.col("digest")], build_bloom(shared, blocks), blocks) if blocks <= SCREEN_BLOCKS else texts
+    kinds = some.distinct().groupBy("digest").agg(F.count("*").alias("n"))
+    return [r["digest"] for r in kinds.where("n > 1").select("digest").collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import global_rank, materialize, words_in
+from .common import global_rank, materialize, unused, words_in
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
@@ -60,7 +60,8 @@ def mix(docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, c
 
 def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mix itself: every row of docs as often as ``mixed`` says, all columns of docs.
-    Documents with no copies go.  ``id_col`` must be unique and not null in docs: doc_id, or one of
+    Documents with no copies go.  Columns of docs may have any names.  ``id_col`` must be unique and not null in docs: doc_id, or one of
     the ``keys`` that mix() kept."""
-    n = mixed.where("copies > 0").select(F.col("doc_id" if id_col not in mixed.columns else id_col).alias("_id"), F.col("copies").alias("_n"))
-    return docs.join(n, docs[id_col] == F.col("_id")).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    key, n, i = (unused(docs, c) for c in ("_id", "_n", "_i"))
+    copies = mixed.where("copies > 0").select(F.col("doc_id" if id_col not in mixed.columns else id_col).alias(key), F.col("copies").alias(n))
+    return docs.join(copies, docs[id_col] == F.col(key)).withColumn(i, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

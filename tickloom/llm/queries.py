@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codec, common, dedup, embeddings, mixing, ngrams, packing, sharding, tokens, toxicity, urls
+from . import codec, dedup, embeddings, mixing, ngrams, packing, sharding, tokens, toxicity, urls
 
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+RULES = "VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block') AS rules(host, path, verdict)"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of documents by their token counts."""
     counts = tokens.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(common.materialize(counts.select("doc_id", "n_tokens"), "lengths"))
+    return packing.pack(counts)
 
 
 def op2_mixing_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op6_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM {RULES}")
     return urls.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 

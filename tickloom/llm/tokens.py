@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import sole_cache, text_batches, trim
+from .common import materialize, sole_cache, text_batches, trim
 
 NONE = np.int64(2**62)
 CACHE = 1_000_000
@@ -174,7 +174,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     Null text counts as empty: 0 and 0.  Repeated rows give repeated rows, an empty table none.
     Only the two columns named are read, so other columns may have any names.  Texts of any length are counted whole;
     a partition is taken in slices of bounded text.  path is that of a tokenizer JSON file present
-    on all executors.
+    on all executors.  The counts are written once, slim, to the shared folder.
     """
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    text_batches(docs.sparkSession)
     slim = docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    with text_batches(docs.sparkSession):
+        return materialize(slim.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean"), "counts")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sole_cache, text_batches, trim
+from .common import materialize, sole_cache, text_batches, trim
 from .tokens import batches
 
 WORD = re.compile(r"\w+")
@@ -315,7 +315,6 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, id_col: str =
 
     Null text scores as empty.  Repeated rows give repeated rows; an empty table none.  Whole texts
     are read, in slices of bounded size."""
-    text_batches(docs.sparkSession)
     state = pickle.dumps((scorer.lexicon.terms, scorer.lexicon.stems, scorer.weights))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -325,13 +324,13 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, id_col: str =
         for b in batches(table, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.scores(b.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    out = slim.mapInArrow(run, f"doc_id {kind}, score double")
+    with text_batches(docs.sparkSession):
+        out = materialize(slim.mapInArrow(run, f"doc_id {kind}, score double"), "scores")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def reject(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs that score below threshold, with all their columns, in one pass."""
-    text_batches(docs.sparkSession)
     state = pickle.dumps((scorer.lexicon.terms, scorer.lexicon.stems, scorer.weights))
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

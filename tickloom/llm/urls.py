@@ -2,8 +2,9 @@
 
 The filter is split-block: a key picks one 512-bit block by one hash and one bit in each of its
 eight words by another.  It is aggregated with bit_or per block, so building it is one partial
-aggregation; the finished filter has a bound on its size (``max_blocks``) and reaches the scan as
-a scalar subquery.  A listed key always passes.  False positives go to an exact hash join.
+aggregation; the finished filter is a table of blocks with a bound on its rows (``max_blocks``),
+looked up by a broadcast hash join.  A listed key always passes.  False positives go to an exact
+hash join.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = 8
 
@@ -32,26 +35,27 @@ def bloom_blocks(n_keys: int, bits_per_key: int = 16, max_blocks: int = 16384) -
 
 
 def build_bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """One row with one column: array<array<bigint>>, a block's eight words each.  Rows with a
-    null key count like any other key."""
+    """The filter as a table (b, w0 .. w7): one row for each block that holds a key, so at most ``blocks``
+    rows.  Rows with a null key count like any other key."""
     block, bits = _place([F.col(c) for c in keys.columns], blocks)
     masks = keys.select(block.alias("b"), bits.alias("h")).select("b", *[_mask(F.col("h"), i).alias(f"w{i}") for i in range(WORDS)])
-    built = masks.groupBy("b").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
-    spine = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("b"))
-    full = spine.join(built, "b", "left").select("b", F.array(*[F.coalesce(f"w{i}", F.lit(0).cast("long")) for i in range(WORDS)]).alias("w"))
-    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda x: x["w"]).alias("bloom"))
+    return masks.groupBy("b").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
+
 
+def in_bloom(rows: DataFrame, keys: list[Column], bloom: DataFrame, blocks: int) -> DataFrame:
+    """Those rows whose key may have been added; a row whose key was added always passes.
 
-def in_bloom(bloom: Column, keys: list[Column], blocks: int) -> Column:
-    """False only for keys that were never added."""
+    The filter's blocks are looked up by a broadcast hash join on the block number; ``blocks`` bounds
+    what is broadcast, 72 bytes each.  rows are not shuffled."""
     block, bits = _place(keys, blocks)
-    words = F.element_at(bloom, block + 1)
+    names = [unused(rows, f"_bloom{i}") for i in range(WORDS + 2)]
+    words = F.broadcast(bloom.toDF(names[0], *names[2:]))
     hit = None
     for i in range(WORDS):
-        m = _mask(bits, i)
-        one = F.element_at(words, i + 1).bitwiseAND(m) == m
+        m = _mask(F.col(names[1]), i)
+        one = F.col(names[2 + i]).bitwiseAND(m) == m
         hit = one if hit is None else hit & one
-    return hit
+    return rows.withColumns({names[0]: block, names[1]: bits}).join(words, names[0]).where(hit).select(*rows.columns)
 
 
 def host_of(url: Column) -> Column:
@@ -78,7 +82,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     Null urls and urls without ``://``: empty host and path, so no rule fits.  Repeated pages keep
     their rows.  An empty rule list gives the default everywhere.  Rules with a null host or path
     are ignored; of rules listed twice, block wins over allow.  Columns of pages named host,
-    path, rule or verdict are replaced; others stay.
+    path, rule or verdict are replaced; others stay, whatever their names.
 
     Candidate keys of a url are (suffix of the host at a label, prefix of the path as long as some
     rule's path).  Those that the filter does not let through end there, so most never enter a join.
@@ -89,14 +93,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     if not n_rules:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     blocks = bloom_blocks(n_rules, max_blocks=max_blocks)
-    bloom = build_bloom(listed.select("host", "path"), blocks).scalar()
+    bloom = build_bloom(listed.select("host", "path"), blocks)
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array(*[F.when(F.length("path") >= n, F.substring(F.col("path"), 1, n)) for n in sorted(lengths)])
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.struct(h.alias("h"), p.alias("p")))))
     keys = base.select("host", "path").where("host <> ''").distinct().select("host", "path", F.explode(pairs).alias("k")).select("host", "path", F.col("k.h").alias("h"), F.col("k.p").alias("p"))
-    passed = keys.where(in_bloom(bloom, [F.col("h"), F.col("p")], blocks))
+    passed = in_bloom(keys, [F.col("h"), F.col("p")], bloom, blocks)
     exact = passed.join(listed.select(F.col("host").alias("h"), F.col("path").alias("p"), "verdict"), ["h", "p"])
     best = exact.groupBy("host", "path").agg(F.max(F.struct((F.length("h") + F.length("p")).alias("n"), F.length("h").alias("m"), "h", "p", "verdict")).alias("best"))
-    joined = base.join(best.select("host", "path", F.concat("best.h", "best.p").alias("rule"), F.col("best.verdict").alias("_v")), ["host", "path"], "left")
-    return joined.withColumn("verdict", F.coalesce("_v", F.lit(default))).drop("_v")
+    found = unused(base, "_verdict")
+    joined = base.join(best.select("host", "path", F.concat("best.h", "best.p").alias("rule"), F.col("best.verdict").alias(found)), ["host", "path"], "left")
+    return joined.withColumn("verdict", F.coalesce(found, F.lit(default))).drop(found)
