@@ -1,6 +1,7 @@
 """Operators over documents: nulls, empty and long texts, ties, repeats, no rows, extra columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -147,6 +148,28 @@ def test_shards_are_minimax_and_contiguous(docs, shards):
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
 
 
+def test_a_third_of_the_rows_leaves_no_shard_empty(spark):
+    docs = spark.createDataFrame([(i, "same text " * 20 if i % 3 == 0 else text(i, 8 + i % 25), "en", "s", 0) for i in range(1500)], SCHEMA)
+    sizes = sharding.shard(docs, 24).groupBy("shard").agg(F.sum("size").alias("b")).toPandas()["b"].sort_values().tolist()
+    assert len(sizes) == 24 and sizes[-1] > 5 * sizes[0] and sizes[-2] < 1.06 * sizes[0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cuts_have_the_largest_least_shard(seed):
+    r = random.Random(seed)
+    sizes = [r.choice([1, 2, 3, 9, 40]) for _ in range(14)]
+    ends = np.cumsum([0, *sizes]).tolist()
+    capacity = least_capacity(sizes, 4)
+    best = 0
+    for cuts in itertools.combinations(ends[1:-1], 3):
+        parts = np.diff([0, *cuts, ends[-1]])
+        if parts.max() <= capacity:
+            best = max(best, parts.min())
+    parts = np.diff([0, *sharding.even_cuts(ends, capacity, 4)])
+    assert parts.min() == best and parts.max() <= capacity
+    assert sharding.even_cuts([0, 5, 7], 5, 4) == [5, 7, 7, 7]
+
+
 def test_search_refines_until_exact(spark, monkeypatch):
     r = random.Random(5)
     sizes = [r.randint(8, 400) for _ in range(900)] + [9000]
@@ -236,8 +259,6 @@ def test_counts_of_nothing(empty):
 
 
 def brute_padding(lengths, buckets):
-    import itertools
-
     values = sorted(set(lengths))
     best = None
     for k in range(1, min(buckets, len(values)) + 1):
@@ -374,6 +395,21 @@ def test_components_of_a_chain_of_edits(spark, monkeypatch):
     assert {tuple(r) for r in got} == brute_components(data, 3, 90)
 
 
+def test_rows_of_one_id_lose_no_link(spark):
+    a, b = text(70, 60), text(71, 60)
+    c = text(72, 60)
+    data = [(5, a), (5, b), (9, b + " more"), (10, a + " more"), (None, c), (20, c), (None, "odd one"), (21, None), (21, ""), (30, a.upper()), (5, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], SCHEMA)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in ngrams.jaccard_components(docs, 3, 90).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (5, 5), (9, 5), (10, 5), (30, 5), (None, 20), (20, 20), (None, None), (21, 21), (21, 21)], key=str)
+
+
+def test_more_text_is_counted_in_more_ranges(docs, monkeypatch):
+    few = ngrams._ranges(docs)
+    monkeypatch.setattr(ngrams, "RANGE_BYTES", 100)
+    assert ngrams._ranges(docs) > few == 256
+
+
 def test_components_of_nothing(empty):
     assert ngrams.jaccard_components(empty, 5, 80).count() == 0
 

@@ -30,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, partitions, sole_cache, text_batches, trim
+from .common import components, discard, join_groups, materialize, partitions, sole_cache, text_batches, trim
 from .tokens import batches
 
 HEAVY_FROM = 16
 MOST_HEAVY = 1 << 20
 SHARED = 3
 BROADCAST_IDS = 1 << 21
+#: Bytes of input for each hash range of the shingle counts.
+RANGE_BYTES = 1 << 24
 U = np.uint64
 
 
@@ -148,25 +150,27 @@ class _Order:
         return np.r_[light, late[: k - len(light)]]
 
 
+def _marks(s: np.ndarray) -> tuple[int, int, int]:
+    """Size of a set and a signature of 128 bits, which does not depend on order."""
+    return len(s), int(s.sum().astype(np.int64)), int(_mixed(s ^ U(0x5851F42D4C957F2D)).sum().astype(np.int64))
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int, order) -> DataFrame:
     """(id, n, s1, s2, p, prefix): set size, signature of the set, of the prefix, and the prefix."""
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = order.value
         for b in batches(table, "text"):
-            sizes, s1, s2, sp, prefixes = [], [], [], [], []
+            marks, sp, prefixes = [], [], []
             for s in _sets(b.column(1).to_pylist(), n):
-                m = len(s)
-                need = _need(m, num, den)
-                pre = o.first(s, m - need + min(SHARED, need)) if m else s
-                sizes.append(m)
-                s1.append(int(s.sum().astype(np.int64)))
-                s2.append(int(_mixed(s ^ U(0x5851F42D4C957F2D)).sum().astype(np.int64)))
+                need = _need(len(s), num, den)
+                pre = o.first(s, len(s) - need + min(SHARED, need)) if len(s) else s
+                marks.append(_marks(s))
                 sp.append(int(_mixed(pre + U(0x14057B7EF767814F)).sum().astype(np.int64)))
                 prefixes.append(pre.astype(np.int64))
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "n", "s1", "s2", "p", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([m[k] for m in marks], pa.int64()) for k in range(3)], pa.array(sp, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "n", "s1", "s2", "p", "prefix"])
 
     return docs.select("id", "text").mapInArrow(run, "id long, n long, s1 long, s2 long, p long, prefix array<long>")
 
@@ -174,19 +178,23 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, order) -> DataFrame:
 # ---------------------------------------------------------------- verification
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Those of (a, b) whose whole sets are similar.  Sets are made again for the ids in pairs only."""
-    needed = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+def _verified(docs: DataFrame, equal: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Those pairs (a, b) of nodes whose whole sets are similar.  Sets are made again for the nodes in pairs
+    only, from the text whose id and signature are the node's."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = materialize(equal.join(ends, "node").select("id", "node", "n", "s1", "s2"), "needed")
     few = needed.count() <= BROADCAST_IDS
-    texts = docs.select("id", "text").join(F.broadcast(needed) if few else needed, "id")
+    texts = docs.select("id", "text").join(F.broadcast(needed) if few else needed, "id").select("node", "text", "n", "s1", "s2")
 
     def make(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(table, "text"):
-            sets = [np.unique(s >> U(16)) for s in _sets(b.column(1).to_pylist(), n)]
+            found = _sets(b.column(1).to_pylist(), n)
+            mine = [k for k, (s, *m) in enumerate(zip(found, *[b.column(c).to_pylist() for c in (2, 3, 4)], strict=True)) if _marks(s) == tuple(m)]
+            sets = [np.unique(found[k] >> U(16)) for k in mine]
             blob = [(s >> U(32)).astype("<u2").tobytes() + (s & U(0xFFFFFFFF)).astype("<u4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blob, pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(mine, pa.int64())), pa.array(blob, pa.binary())], ["node", "set"])
 
-    sets = materialize(texts.mapInArrow(make, "id long, set binary"), "sets")
+    sets = materialize(texts.mapInArrow(make, "node long, set binary"), "sets")
 
     def load(x: bytes) -> np.ndarray:
         m = len(x) // 6
@@ -205,8 +213,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int) ->
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([a_id[k] for k in keep], pa.int64()), pa.array([b_id[k] for k in keep], pa.int64())], ["u", "v"])
 
-    one = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    two = one.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
+    one = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    two = one.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
     links = materialize(two.select("a", "b", "set_a", "set_b").mapInArrow(compare, "u long, v long"), "links")
     discard(needed, sets)
     return links
@@ -225,42 +233,60 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     100 * intersection >= percent * union of their distinct n-word shingles.
 
     component_id is the smallest id reachable.  Texts without words, and null ones, have no shingles
-    and stay alone.  A row with a null id is kept, with a null component if alone.  Repeated ids are taken as
-    one node (of equal sets or not).  Empty tables give no rows.  Only the two columns are read.
+    and stay alone.  A row with a null id is kept; it takes the component of an equal set, else null.  Rows
+    with a repeated id are one document with several sets, all of which link it; n_shingles is the row's
+    own.  Empty tables give no rows.  Only the two columns are read.
+
+    Any set, prefix or shingle may belong to a third of all rows: what is joined back to many rows is
+    broadcast where it is that frequent (join_groups).
     """
-    num, den = percent, 100
+    with text_batches(docs.sparkSession):
+        return _components(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n, percent, 100)
+
+
+def _ranges(docs: DataFrame) -> int:
+    """How many hash ranges count the shingles: more of them the more text there is.  The plan knows the
+    size of files; where it does not, texts are measured."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(1 << 20, max(256, 4 * partitions(docs.sparkSession), size // RANGE_BYTES))
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
-    text_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    buckets = max(256, 4 * partitions(spark))
-    order = spark.sparkContext.broadcast(_Order(heavy_tokens(docs, n, buckets)))
-    sigs = materialize(signatures(docs, n, num, den, order), "signatures")
+    order = spark.sparkContext.broadcast(_Order(heavy_tokens(docs, n, _ranges(docs))))
+    sigs = materialize(signatures(docs, n, num, den, order).withColumn("sig", F.struct("n", "s1", "s2")), "signatures")
     order.destroy()
     trim()
-    slim = sigs.where("n > 0 and id is not null").select("id", "n", "s1", "s2", "p")
-
-    equal = slim.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.min("p").alias("p"))
-    equal = materialize(equal, "equal")
-    groups = equal.groupBy("p", "n").agg(F.min("rep").alias("gid"), F.countDistinct("rep").alias("m"))
-    members = materialize(equal.join(groups, ["p", "n"]).select("rep", "gid", "n", "m").distinct(), "members")
-
-    heads = members.where("rep = gid").select(F.col("gid").alias("id"), "n", "m")
-    prefixes = sigs.select("id", F.col("n"), "prefix").join(heads, ["id", "n"]).dropDuplicates(["id", "n"])
-    index = prefixes.select(F.col("id").alias("gid"), "n", "m", F.posexplode("prefix").alias("pos", "token"))
-    lists = index.groupBy("token").agg(F.sum("m").alias("k"), F.min(F.struct("pos", "gid", "n")).alias("hub")).where("k > 1")
-    posts = materialize(index.join(lists.select("token", "hub"), "token"), "posts")
+    slim = sigs.where("n > 0 and id is not null").select("id", "sig", "p")
+
+    # a node is a set of shingles; its number is fixed by writing it
+    equal = slim.groupBy("sig").agg(F.min("id").alias("id"), F.min("p").alias("p"), F.count("*").alias("copies"))
+    equal = materialize(equal.select(F.monotonically_increasing_id().alias("node"), "sig", "sig.*", "id", "copies", F.struct("p", "sig.n").alias("key")), "equal")
+    n_sets, n_rows = (x or 0 for x in equal.agg(F.count("*"), F.sum("copies")).first())
+    groups = materialize(equal.groupBy("key").agg(F.min("node").alias("gid"), F.count("*").alias("m")), "groups")
+    members = materialize(join_groups(equal.select("node", "key", "n"), groups, "key", "m", n_sets).select("node", "gid", "n", "m"), "members")
+
+    heads = members.where("node = gid").select("gid", "m").join(equal.select(F.col("node").alias("gid"), "id", "sig"), "gid")
+    prefixes = materialize(sigs.select("id", "sig", "n", "prefix").join(heads, ["id", "sig"]).dropDuplicates(["gid"]).select("gid", "n", "m", "prefix"), "prefixes")
+    index = prefixes.select("gid", "n", "m", F.posexplode("prefix").alias("pos", "token"))
+    lists = index.groupBy("token").agg(F.sum("m").alias("k"), F.count("*").alias("times"), F.min(F.struct("pos", "gid", "n")).alias("hub")).where("k > 1")
+    lists = materialize(lists.select("token", "times", "hub"), "lists")
+    n_posts = lists.agg(F.sum("times")).first()[0] or 0
+    posts = materialize(join_groups(index, lists, "token", "times", n_posts).drop("times"), "posts")
 
     # 3. everyone against one group of each list
     hubs = posts.where("gid <> hub.gid or m > 1").groupBy("gid", "n", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.count("*").alias("shared"))
     hubs = hubs.where(_alike(F.col("n"), F.col("hub_n"), num, den) & (F.col("shared") >= F.least(_enough(F.col("n"), num, den), _enough(F.col("hub_n"), num, den))))
-    pairs = hubs.join(members.select("rep", "gid", "n"), ["gid", "n"]).where("rep <> hub").select(F.greatest("hub", "rep").alias("a"), F.least("hub", "rep").alias("b")).distinct()
-    links = _verified(docs, materialize(pairs, "hubs"), n, num, den)
+    pairs = hubs.join(members.select("node", "gid"), "gid").where("node <> hub").select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b")).distinct()
+    links = _verified(docs, equal, materialize(pairs, "hubs"), n, num, den)
     label = components(links)
 
     # 4. pairs of groups in different components
-    of = materialize(members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "gid", "n", F.coalesce("component", "rep").alias("comp")), "of")
-    kinds = of.select("gid", "n", "comp").distinct()
-    entity = posts.select("token", "gid", "n", "pos").join(kinds, ["gid", "n"])
+    of = materialize(members.join(label, "node", "left").select("node", "gid", "n", F.coalesce("component", "node").alias("comp")), "of")
+    kinds = of.select("gid", "comp").distinct()
+    entity = posts.select("token", "gid", "n", "pos").join(kinds, "gid")
     mixed = entity.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     entity = materialize(entity.join(mixed, "token"), "entities")
     # the first token that a similar pair shares leaves room for the overlap in both sets
@@ -272,14 +298,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     ea, eb = (entity.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "gid", "n")], (F.col("n") - F.col("pos")).alias(f"reach_{s}")) for s in "ab")
     met = apart.join(ea, ["token", "comp_a"]).join(eb, ["token", "comp_b"]).where(_alike(F.col("n_a"), F.col("n_b"), num, den) & room("reach_a", "n_a", "n_b") & room("reach_b", "n_a", "n_b"))
     met = met.select("gid_a", "n_a", "comp_a", "gid_b", "n_b", "comp_b").distinct()
-    pa_, pb = (prefixes.select(F.col("id").alias(f"gid_{s}"), F.col("prefix").alias(f"prefix_{s}")) for s in "ab")
+    pa_, pb = (prefixes.select(F.col("gid").alias(f"gid_{s}"), F.col("prefix").alias(f"prefix_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("prefix_a", "prefix_b"))
     found = met.join(pa_, "gid_a").join(pb, "gid_b").where(shared >= F.least(_enough(F.col("n_a"), num, den), _enough(F.col("n_b"), num, den)))
-    ra, rb = (of.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "comp")]) for x, s in (("a", "a"), ("b", "b")))
-    pairs = found.join(ra, ["gid_a", "n_a", "comp_a"]).join(rb, ["gid_b", "n_b", "comp_b"]).select("a", "b").distinct()
-    more = _verified(docs, materialize(pairs, "pairs"), n, num, den)
-
-    label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more))
-    final = equal.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sigs.select("id", "n", "s1", "s2").join(final, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    ra, rb = (of.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "comp")]) for s in "ab")
+    pairs = found.join(ra, ["gid_a", "comp_a"]).join(rb, ["gid_b", "comp_b"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    more = _verified(docs, equal, materialize(pairs, "pairs"), n, num, den)
+
+    # sets of one id belong together
+    sets = slim.groupBy("id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("id")
+    several = slim.join(F.broadcast(sets) if sets.count() <= BROADCAST_IDS else sets, "id", "left_semi").select("id", "sig").distinct().join(equal.select("sig", "node"), "sig")
+    same = several.join(several.groupBy("id").agg(F.min("node").alias("v")), "id").select(F.col("node").alias("u"), "v")
+    label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more).union(same))
+
+    # a component's number is its smallest id
+    placed = materialize(equal.join(label, "node", "left").select("sig", "id", "copies", F.coalesce("component", "node").alias("component")), "placed")
+    least = placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("sets"))
+    named = materialize(join_groups(placed, least, "component", "sets", n_sets).select("sig", "copies", "component_id"), "named")
+    alone = sigs.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    rows = sigs.where("n > 0").select("id", "n", "sig")
+    unknown = rows.where("id is null").join(named.select("sig", "component_id"), "sig", "left").select("id", "n", "component_id")
+    linked = join_groups(rows.where("id is not null"), named, "sig", "copies", n_rows).select("id", "n", "component_id")
+    out = alone.union(unknown).union(linked)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
