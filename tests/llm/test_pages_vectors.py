@@ -104,6 +104,23 @@ def test_links_of_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "most"), [("even", 0.02), ("clusters", 0.26)])
+def test_most_pairs_are_never_taken_in_full(kind, most):
+    """Even vectors of 64 dimensions, the worst case, and clusters: leaves are skipped by their boxes, pairs by
+    their bound; what is left has all links."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4096, 64))
+    if kind == "clusters":
+        x = np.repeat(rng.normal(size=(64, 64)), 64, axis=0) + 0.15 * x
+    x = embeddings._unit(x)
+    axes = embeddings.principal(x)
+    x = x[np.lexsort(np.floor(x @ axes[:, : embeddings.LEADING] / 0.45).T[::-1])]
+    q, one = embeddings.reduced(x, axes), np.ones(len(x), np.int64)
+    deg, _, _, _, (visited, full) = embeddings.join_blocks(x, one, q, x, one, q, True, 0.9, np.sqrt(0.2))
+    assert deg.tolist() == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+    assert full <= most * len(x) ** 2 / 2 and visited <= len(x) ** 2
+
+
 def test_distant_intervals_are_skipped():
     low = np.array([[float(i)] for i in range(100)])
     tree = embeddings.Intervals(low, low + 0.5)

@@ -4,8 +4,12 @@ Unit vectors at cosine c are sqrt(2 - 2c) apart, so links are pairs within epsil
 projected on leading principal dimensions (fitted on a bounded sample; any rotation gives the same
 links) and sorted by their epsilon grid cells there, first dimension first.  The sequence is cut
 into intervals; a recursion over pairs of intervals skips those whose boxes are more than epsilon
-apart, first between intervals (boxes alone), then inside a pair of intervals down to leaves,
-where all cosines are taken in double precision.
+apart, first between intervals (boxes alone), then inside a pair of intervals down to leaves.
+
+In a leaf, what is left of a vector outside the leading dimensions counts by its length r: the
+cosine of two vectors is at most p_a . p_b + r_a r_b (Cauchy-Schwarz), so most pairs are provably
+below it from BOUND + 1 numbers each; only the others are taken in full, in double precision.  The
+boxes too have r as one more dimension, in which near vectors are near.
 """
 
 from __future__ import annotations
@@ -18,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, global_rank, materialize
+from .common import components, global_rank, join_groups, materialize
 
-LEADING = 8
-INTERVAL = 4096
+#: Principal dimensions whose grid cells order the vectors, and those that bound a cosine.
+LEADING, BOUND = 8, 16
+#: Bytes of vectors in an interval; two of them meet in one task.
+INTERVAL_BYTES = 1 << 23
 LEAF = 512
+#: A leaf's pairs are taken in full at once if more than this share of them is not provably distant.
+DENSE = 0.05
 MOST_INTERVALS = 1 << 16
 FIT_ROWS = 4096
 
@@ -33,13 +41,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def principal(sample: np.ndarray, k: int = LEADING) -> np.ndarray:
+def principal(sample: np.ndarray, k: int = BOUND) -> np.ndarray:
     """Columns: the leading principal dimensions of unit vectors."""
     centred = sample - sample.mean(axis=0)
     _, vectors = np.linalg.eigh(centred.T @ centred)
     return vectors[:, ::-1][:, : min(k, sample.shape[1])]
 
 
+def reduced(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors in the leading dimensions, and the length of the rest."""
+    p = x @ axes
+    return np.c_[p, np.sqrt(np.maximum(0.0, 1.0 - (p * p).sum(axis=1)))]
+
+
 def _apart(low_a, high_a, low_b, high_b) -> np.ndarray:
     """Distance between boxes."""
     gap = np.maximum(0.0, np.maximum(low_a - high_b, low_b - high_a))
@@ -86,36 +100,48 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def join_blocks(xa: np.ndarray, ka: np.ndarray, pa_: np.ndarray, xb: np.ndarray, kb: np.ndarray, pb: np.ndarray, same: bool, cosine: float, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(links of each a, links of each b, edges as a's index, b's index offset by len(a)).
+def _hits(xa: np.ndarray, qa: np.ndarray, xb: np.ndarray, qb: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(i, j) of all pairs at the cosine or above, and how many pairs were taken in full."""
+    i, j = np.nonzero(qa.astype(np.float32) @ qb.astype(np.float32).T >= cosine - 1e-5)  # far more than single precision loses
+    if len(i) > DENSE * len(xa) * len(xb):
+        return *np.nonzero(xa @ xb.T >= cosine), len(xa) * len(xb)
+    near = np.einsum("ij,ij->i", xa[i], xb[j]) >= cosine
+    return i[near], j[near], len(i)
 
-    x: unit vectors, k: copies of each, p: projections.  With ``same``, b is a and pairs count once."""
+
+def join_blocks(xa: np.ndarray, ka: np.ndarray, qa: np.ndarray, xb: np.ndarray, kb: np.ndarray, qb: np.ndarray, same: bool, cosine: float, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]:
+    """(links of each a, links of each b, edges as a's index, b's index offset by len(a), pairs in leaves
+    that were visited and pairs taken in full).
+
+    x: unit vectors, k: copies of each, q: reduced vectors.  With ``same``, b is a and pairs count once."""
     na, nb = len(xa), len(xb)
     deg_a, deg_b = np.zeros(na, np.int64), np.zeros(nb, np.int64)
-    us, vs = [], []
+    us, vs, visited, full = [], [], 0, 0
+
+    def halves(i: int, j: int) -> list[tuple[int, int]]:
+        middle = i + LEAF * (-(-(j - i) // LEAF) // 2)
+        return [(i, j)] if j - i <= LEAF else [(i, middle), (middle, j)]
 
     def visit(a0: int, a1: int, b0: int, b1: int) -> None:
+        nonlocal visited, full
         if same and b1 <= a0:
             return
-        if _apart(pa_[a0:a1].min(0), pa_[a0:a1].max(0), pb[b0:b1].min(0), pb[b0:b1].max(0)) > eps:
+        if _apart(qa[a0:a1].min(0), qa[a0:a1].max(0), qb[b0:b1].min(0), qb[b0:b1].max(0)) > eps:
             return
         if a1 - a0 > LEAF or b1 - b0 > LEAF:
-            ca = [(a0, a1)] if a1 - a0 <= LEAF else [(a0, a0 + LEAF * (-(-(a1 - a0) // LEAF) // 2)), (a0 + LEAF * (-(-(a1 - a0) // LEAF) // 2), a1)]
-            cb = [(b0, b1)] if b1 - b0 <= LEAF else [(b0, b0 + LEAF * (-(-(b1 - b0) // LEAF) // 2)), (b0 + LEAF * (-(-(b1 - b0) // LEAF) // 2), b1)]
-            for x in ca:
-                for y in cb:
+            for x in halves(a0, a1):
+                for y in halves(b0, b1):
                     visit(*x, *y)
             return
         if same and b0 < a0:
             return
-        hit = xa[a0:a1] @ xb[b0:b1].T >= cosine
+        i, j, n = _hits(xa[a0:a1], qa[a0:a1], xb[b0:b1], qb[b0:b1], cosine)
+        visited, full = visited + (a1 - a0) * (b1 - b0), full + n
         if same and a0 == b0:
-            np.fill_diagonal(hit, False)
-            deg_a[a0:a1] += hit @ kb[b0:b1]
+            i, j = i[i != j], j[i != j]
         else:
-            deg_a[a0:a1] += hit @ kb[b0:b1]
-            deg_b[b0:b1] += ka[a0:a1] @ hit
-        i, j = np.nonzero(hit)
+            np.add.at(deg_b, b0 + j, ka[a0 + i])
+        np.add.at(deg_a, a0 + i, kb[b0 + j])
         if len(i):
             w = a1 - a0
             root = _roots(i, j + w, w + b1 - b0)
@@ -134,10 +160,10 @@ def join_blocks(xa: np.ndarray, ka: np.ndarray, pa_: np.ndarray, xb: np.ndarray,
         u, v = u % na, v % na
     root = _roots(u, v, na + nb)
     node = np.flatnonzero(root != np.arange(len(root)))
-    return deg_a, deg_b, node, root[node]
+    return deg_a, deg_b, node, root[node], (visited, full)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", interval: int = INTERVAL, fit_rows: int = FIT_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", interval: int | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: vectors are linked at cosine >= ``cosine``.
 
     n_links counts other rows linked directly, component_id is the smallest id reachable, kept says
@@ -146,8 +172,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     once and counted with their number of copies, so one vector may make up a third of the
     table.  Repeated ids are rows of their own.  Empty tables give no rows; other columns are not read.
 
-    The driver holds two corners in LEADING dimensions for each interval; intervals are made longer
-    so that there are at most MOST_INTERVALS.
+    The driver holds two corners in BOUND + 1 dimensions for each interval.  An interval has
+    INTERVAL_BYTES of vectors (or ``interval`` rows), more only where there would be over
+    MOST_INTERVALS of them: the longer it is, the less a vector travels.
     """
     spark = vectors.sparkSession
     eps = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine))) + 1e-9
@@ -157,10 +184,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     distinct = materialize(good.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("k")), "distinct")
     kind = np.dtype("<f8") if "double" in distinct.schema["v"].dataType.simpleString() else np.dtype("<f4")
     count = distinct.groupBy(F.size("v").alias("d")).count().collect()
-    total = sum(r["count"] for r in count)
-    size = max(interval, -(-total // MOST_INTERVALS))
-    axes = {}
+    n_rows = distinct.agg(F.sum("k")).first()[0] or 0
+    axes, sizes = {}, {}
     for r in count:
+        sizes[r["d"]] = max(interval or max(LEAF, INTERVAL_BYTES // (8 * r["d"])), -(-r["count"] // MOST_INTERVALS))
         some = distinct.where(F.size("v") == r["d"]).orderBy(F.xxhash64("rep"), "rep").limit(fit_rows).select("v").toArrow()
         axes[r["d"]] = principal(_unit(np.array(some.column(0).to_pylist(), dtype=float)))
     shared = spark.sparkContext.broadcast(axes)
@@ -173,19 +200,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 groups.setdefault(len(v), []).append(i)
             for d, at in groups.items():
                 x = np.array([raw[i] for i in at], dtype=kind)
-                cell = np.floor(_unit(x) @ shared.value[d] / eps).astype(np.int64)
+                cell = np.floor(_unit(x) @ shared.value[d][:, :LEADING] / eps).astype(np.int64)
                 key = [",".join(f"{c + 100000:06d}" for c in row) for row in cell]
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array([d] * len(at), pa.int32()), pa.array(key), b.column(0).take(take), b.column(2).take(take), pa.array([r.tobytes() for r in x], pa.binary())], ["d", "cell", "rep", "k", "x"])
 
     ordered = distinct.select("rep", "v", "k").mapInArrow(cells, "d int, cell string, rep long, k long, x binary")
-    placed = global_rank(materialize(ordered, "cells"), ["d"], ["cell", "rep", "x"], "at").withColumn("s", F.floor(F.col("at") / size))
+    placed = global_rank(materialize(ordered, "cells"), ["d"], ["cell", "rep", "x"], "at")
+    size = F.lit(1).cast("long")
+    for d, k in sizes.items():
+        size = F.when(F.col("d") == d, k).otherwise(size)
+    placed = placed.withColumn("s", F.floor(F.col("at") / size))
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         d = int(pdf["d"].iloc[0])
         x = np.frombuffer(b"".join(pdf["x"]), kind).reshape(len(pdf), d)
-        p = _unit(x) @ shared.value[d]
+        p = reduced(_unit(x), shared.value[d])
         return pd.DataFrame({"d": [d], "s": pdf["s"].iloc[:1].to_numpy(), "ids": [pdf["rep"].to_numpy(np.int64).tobytes()], "ks": [pdf["k"].to_numpy(np.int64).tobytes()], "xs": [x.tobytes()], "low": [p.min(axis=0)], "high": [p.max(axis=0)]})
 
     blocks = materialize(placed.groupBy("d", "s").applyInPandas(gather, "d int, s long, ids binary, ks binary, xs binary, low array<double>, high array<double>"), "intervals")
@@ -213,7 +244,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 xa = _unit(np.frombuffer(xs, kind).reshape(-1, d))
                 xb = xa if s == s2 else _unit(np.frombuffer(xs2, kind).reshape(-1, d))
                 axes = shared.value[d]
-                da, db, u, v = join_blocks(xa, ka, xa @ axes, xb, kb, xb @ axes, s == s2, cosine, eps)
+                da, db, u, v, _ = join_blocks(xa, ka, reduced(xa, axes), xb, kb, reduced(xb, axes), s == s2, cosine, eps)
                 ia, ib = np.flatnonzero(da), np.flatnonzero(db)
                 names = np.r_[a, c]
                 m = len(ia) + len(ib)
@@ -222,8 +253,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     found = materialize(met.mapInArrow(compare, "u long, n long, v long"), "found")
     degree = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     label = components(found.where("v is not null").select("u", "v"))
-    known = distinct.join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(known, "v").select("id", "n_links", "component_id")
+    known = distinct.join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("v", "k", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = join_groups(good, materialize(known, "known"), "v", "k", n_rows).select("id", "n_links", "component_id")
     alone = rows.where(~fine).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone)
     return out.select(F.col("id").alias("vec_id"), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
