@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,18 @@ def bars(ticks: DataFrame, width: int, value: str = "value", order: tuple[str, .
     return good.groupBy(*KEYS, "venue", bucket.alias("ts")).agg(F.max_by(value, F.struct(*order)).alias("close"))
 
 
+def packed(frame: DataFrame, order: tuple[str, ...]) -> Column:
+    """One value in the order of the columns.  Two whole numbers or instants are packed into a decimal,
+    which an aggregate can hold in its hash map; a struct would make it sort all rows first."""
+    kinds = dict(frame.dtypes)
+    whole = {"bigint": lambda c: c, "int": lambda c: c, "timestamp": F.unix_micros, "timestamp_ntz": lambda c: F.unix_micros(c.cast("timestamp"))}
+    if len(order) != 2 or any(kinds.get(c) not in whole for c in order):
+        return F.struct(*order)
+    high, low = (whole[kinds[c]](F.col(c)).cast("decimal(19,0)") for c in order)
+    # |low| < 2 * 10**19, so that it cannot reach the next value of high
+    return (high * F.lit(Decimal(2 * 10**19))).cast("decimal(38,0)") + low
+
+
 def latest(pages: DataFrame, keys: list[str], value: str, page: str) -> DataFrame:
     """One value per key when pages overlap: the later page wins."""
     return pages.groupBy(*keys).agg(F.max_by(value, page).alias(value))
@@ -37,9 +51,11 @@ def pair_ticks(ticks: DataFrame, width: int, a, b, value: str = "value", order:
     """pair_up(bars(ticks)) in a single aggregate: last positive value of either venue in each bucket."""
     bucket = (F.col("at") - F.pmod(F.col("at"), F.lit(width))).cast("long")
 
+    by = packed(ticks, order)
+
     def last(v) -> Column:
         mine = F.col("venue") == v
-        return F.max_by(F.when(mine, F.col(value)), F.when(mine, F.struct(*order)))
+        return F.max_by(F.when(mine, F.col(value)), F.when(mine, by))
 
     good = ticks.where((F.col(value) > 0) & F.col("venue").isin(a, b))
     return good.groupBy(*KEYS, bucket.alias("ts")).agg(last(a).alias("cex"), last(b).alias("dex")).where("cex is not null and dex is not null")
@@ -47,11 +63,10 @@ def pair_ticks(ticks: DataFrame, width: int, a, b, value: str = "value", order:
 
 def clip_overlap(bars_: DataFrame, a, b) -> DataFrame:
     """Bars inside the stretch that both venues cover."""
-    w = Window.partitionBy(*KEYS)
-    side = lambda f, v: f(F.when(F.col("venue") == v, F.col("ts"))).over(w)
-    out = bars_.withColumns({"_lo": F.greatest(side(F.min, a), side(F.min, b)), "_hi": F.least(side(F.max, a), side(F.max, b))})
-    both = side(F.min, a).isNotNull() & side(F.min, b).isNotNull()
-    return out.withColumn("_both", both).where("_both and ts between _lo and _hi").drop("_lo", "_hi", "_both")
+    side = lambda f, v: f(F.when(F.col("venue") == v, F.col("ts")))
+    ends = bars_.groupBy(*KEYS).agg(*[side(f, v).alias(f"_{n}{i}") for n, f in (("lo", F.min), ("hi", F.max)) for i, v in enumerate((a, b))])
+    ends = ends.where("_lo0 is not null and _lo1 is not null").select(*KEYS, F.greatest("_lo0", "_lo1").alias("_lo"), F.least("_hi0", "_hi1").alias("_hi"))
+    return bars_.join(ends, KEYS).where("ts between _lo and _hi").drop("_lo", "_hi")
 
 
 def coverage(bars_: DataFrame, a, b, step: int = MINUTE) -> DataFrame:

@@ -29,9 +29,10 @@ def check_values(claims: DataFrame, metrics: DataFrame, texts: DataFrame, tolera
 
 
 def check_directions(claims: DataFrame, texts: DataFrame) -> DataFrame:
-    """(surface, label, holds, said, agrees): a statement must be in the text exactly when its predicate holds."""
+    """(surface, label, holds, said, agrees): a statement must be in the text exactly when its predicate holds;
+    it is found as in check_values()."""
     body = texts.select("surface", flat(F.col("text")).alias("text"))
-    said = F.coalesce(F.col("text").contains(F.col("phrase")), F.lit(False))
+    said = F.coalesce(F.regexp_like("text", _literal(F.col("phrase"))), F.lit(False))
     return claims.join(body, "surface", "left").select("surface", "label", "holds", said.alias("said"), (said == F.col("holds")).alias("agrees"))
 
 
@@ -45,8 +46,23 @@ def tally(results: DataFrame, failed) -> DataFrame:
     return results.groupBy("surface").agg(F.count("*").alias("checks"), F.count_if(failed).alias("failures"))
 
 
+def gate(tallies: DataFrame) -> int:
+    """0 if no surface has failures, else 1: what a command that checks should exit with."""
+    return int(tallies.where("failures > 0").limit(1).count() > 0)
+
+
 def html_table(rows: DataFrame, header: list[str], key: str, cells: str = "html") -> DataFrame:
     """One HTML table from row markup in key order; a report is small by nature."""
     head = "".join(f"<th>{h}</th>" for h in header)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, cells))), lambda x: x[cells]), "")
     return rows.agg(F.concat(F.lit(f"<table><tr>{head}</tr>"), body, F.lit("</table>")).alias("html"))
+
+
+def html_page(title: str, tables: list[tuple[str, DataFrame]]) -> DataFrame:
+    """One row: a whole page with a heading and the (one-row) html of each table."""
+    out = None
+    for at, (heading, table) in enumerate(tables):
+        one = table.select(F.lit(at).alias("at"), F.concat(F.lit(f"<h2>{heading}</h2>"), "html").alias("part"))
+        out = one if out is None else out.union(one)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
+    return out.agg(F.concat(F.lit(f"<!doctype html><html><head><title>{title}</title></head><body><h1>{title}</h1>"), body, F.lit("</body></html>")).alias("html"))

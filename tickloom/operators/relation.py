@@ -80,6 +80,14 @@ def effective_pairs(summary: DataFrame, n: str, rho: str) -> DataFrame:
     return summary.withColumn("effective", effective_count(F.col(n).cast("double"), F.coalesce(F.col(rho), F.lit(0.0))))
 
 
+def window_labels(frame: DataFrame, most: int = 1000) -> list[str]:
+    """The windows of a frame in order; more than ``most`` are an error, as each becomes a column."""
+    found = [r[0] for r in frame.select("window").distinct().orderBy("window").limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"over {most} windows")
+    return found
+
+
 def leadership_across_windows(weights: DataFrame, labels: list[str]) -> DataFrame:
     """(symbol, a column for each label, windows_ranked, led_every_window, spread_across_windows) from
     (window, symbol, w_a).  The spread is NULL with fewer than two windows."""
@@ -95,6 +103,11 @@ def replication(fits: DataFrame, first: str, second: str) -> DataFrame:
     return both.withColumn("leads_both", F.col("leads_first") & F.col("leads_second")).drop("leads_first", "leads_second")
 
 
+def replication_drift(both: DataFrame) -> DataFrame:
+    """Over all shared symbols of replication(): how many, led in both, and the largest change of weight."""
+    return both.agg(F.count("*").alias("shared"), F.count_if("leads_both").alias("led_both"), F.max(F.abs(F.col("w_second") - F.col("w_first"))).alias("largest_drift"))
+
+
 def lead_tally(fits: DataFrame, *groups: str) -> DataFrame:
     """Led and fitted, for each value of groups and over all (groups NULL)."""
     return fits.rollup(*groups).agg(F.count_if(F.col("leads")).alias("led"), F.count("*").alias("total"))

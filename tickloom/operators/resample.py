@@ -55,7 +55,9 @@ def bootstrap_fits(logs: DataFrame, draws: int = DRAWS, lags: int = LAGS, seed:
         total = np.add.reduceat(part, at, axis=0)
         return pd.DataFrame({"window": left["window"].iloc[0], "symbol": left["symbol"].iloc[0], "draw": d[at], "gram": list(total), "rows": np.add.reduceat(w, at)})
 
-    keep = numbered.select(*KEYS, "idx", *[c for c in cols if c != "one"])
+    # fresh key columns: both sides come from the same series
+    fresh = [F.col(k).alias(k) for k in KEYS]
+    keep, blocks = numbered.select(*fresh, "idx", *[c for c in cols if c != "one"]), blocks.select(*fresh, "draw", "block", "start", "width")
     grams = keep.groupBy(*KEYS).cogroup(blocks.groupBy(*KEYS)).applyInPandas(sums, "window string, symbol string, draw long, gram array<double>, rows long")
 
     def values(full: np.ndarray, f: pd.DataFrame) -> dict:

@@ -142,7 +142,7 @@ v AS (SELECT c_nationkey AS id, coalesce(sum(n), 0)::BIGINT AS paired_min, round
 vr AS (SELECT *, cex_vol / greatest(dex_vol, 1) AS ratio FROM v)"""
 
 
-def _bootstrap(draws: int = 100) -> str:
+def _bootstrap(draws: int = 400) -> str:
     keys = "window_, symbol, draw"
     names = ["one", *[f"{v}{i}" for i in range(1, 6) for v in ("da", "db")], "s", "ya", "yb"]
     return f"""{_paired()},{_design()},
@@ -192,12 +192,13 @@ def _alignment(split: bool = False) -> str:
 {_spread("paired", "z0")},{_adf("z0", "az")},{_spread("moved", "z1")},{_adf("z1", "bz")},{_profile()},
 n0 AS (SELECT window_, symbol, count(*) AS rows_as_collected, CASE WHEN count(*) >= 20 THEN stddev_samp(ln(cex) - ln(dex)) * 1e4 END AS sd0 FROM paired GROUP BY ALL),
 n1 AS (SELECT window_, symbol, count(*) AS rows_realigned, CASE WHEN count(*) >= 20 THEN stddev_samp(ln(cex) - ln(dex)) * 1e4 END AS sd1 FROM moved GROUP BY ALL),
-al AS (SELECT n0.window_, n0.symbol, rows_as_collected, coalesce(rows_realigned, 0) AS rows_realigned, sd0, sd1, f.leads AS leads_as_collected, g.leads AS leads_realigned, az.stationary AS stationary_as_collected, bz.stationary AS stationary_realigned, best_lag, corr_at_zero, corr_at_best
+al AS (SELECT n0.window_, n0.symbol, rows_as_collected, coalesce(rows_realigned, 0) AS rows_realigned, sd0, sd1, f.leads AS leads_as_collected, g.leads AS leads_realigned, f.w_a AS w0, g.w_a AS w1, az.stationary AS stationary_as_collected, bz.stationary AS stationary_realigned, best_lag, corr_at_zero, corr_at_best
   FROM n0 LEFT JOIN n1 USING (window_, symbol) LEFT JOIN f USING (window_, symbol) LEFT JOIN g USING (window_, symbol) LEFT JOIN az USING (window_, symbol) LEFT JOIN bz USING (window_, symbol) LEFT JOIN profile USING (window_, symbol))"""
 
 
+#: FIXED VALUES: false-lead rates of the published simulation, by share kept (dropped, held).
 CURVE = "(VALUES (0.05, 0.375, 1.0), (0.1, 0.2, 1.0), (0.2, 0.175, 1.0), (0.3, 0.125, 1.0), (0.45, 0.025, 1.0), (0.6, 0.0, 1.0), (0.8, 0.0, 0.95), (1.0, 0.0, 0.0))"
-SPELLED = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen','twenty']"
+SPELLED = "{1: 'one', 2: 'two', 3: 'three', 4: 'four', 5: 'five', 6: 'six', 7: 'seven', 8: 'eight', 9: 'nine', 10: 'ten', 11: 'eleven', 12: 'twelve', 13: 'thirteen', 14: 'fourteen', 15: 'fifteen', 16: 'sixteen', 17: 'seventeen', 18: 'eighteen', 19: 'nineteen', 20: 'twenty', 21: 'twenty-one', 22: 'twenty-two', 23: 'twenty-three', 24: 'twenty-four', 26: 'twenty-six', 35: 'thirty-five', 60: 'sixty', 96: 'ninety-six'}"
 POOLS = """pools AS (SELECT 'T' || s_nationkey || 'X' AS symbol, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'solana' END AS chain, 'dex' || (s_suppkey % 3) AS dex, 'pool' || s_suppkey AS pool,
   CASE WHEN s_suppkey % 4 = 0 THEN 'Fake' ELSE 'Xs' END || s_suppkey AS base_address, abs(s_acctbal) AS liquidity, s_acctbal AS volume FROM supplier),
 best AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY liquidity DESC, pool) AS k FROM pools WHERE chain = 'solana' AND starts_with(base_address, 'Xs'))"""
@@ -257,13 +258,17 @@ FROM c0 JOIN f USING (window_, symbol) JOIN g USING (window_, symbol) JOIN az US
 SELECT c.symbol, c.paired_minutes, fill_rate, consecutive_share, median_gap_min, max_gap_min, {_r("az.adf")} AS adf, stationary, {SPEEDS}, {_r("is_low", 4)} AS is_low, {_r("is_high", 4)} AS is_high, {_r("rho")} AS rho, {_r("lead_share")} AS lead_share, abs(speed_a_high) < abs(speed_b_low) AS speeds_separated, (w_a > 0.5) = ((is_low + is_high) / 2 > 0.5) AS agree, CASE WHEN c.paired_minutes >= 120 THEN 'ranked' ELSE 'too few paired minutes' END AS verdict
 FROM cover c LEFT JOIN shares s ON c.paired_minutes >= 120 AND s.symbol = c.symbol LEFT JOIN az ON c.paired_minutes >= 120 AND az.symbol = c.symbol LEFT JOIN boot ON c.paired_minutes >= 120 AND boot.symbol = c.symbol"""
     q["perm_spearman"] = f"""WITH {CUSTOMERS}, r AS (SELECT id, {_rank("paired_min")} AS rx, {_rank("ratio")} AS ry FROM vr), num AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM r),
-s AS (SELECT draw, ry, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', 0, draw, id)), id) AS i FROM r, generate_series(1, 2000) g(draw)),
+s AS (SELECT draw, ry, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', 0, draw, id)), id) AS i FROM r, generate_series(1, 20000) g(draw)),
 c AS (SELECT draw, avg(num.rx * s.ry) AS m FROM s JOIN num USING (i) GROUP BY ALL), k AS (SELECT avg(rx) AS mx, avg(ry) AS my, stddev_pop(rx) * stddev_pop(ry) AS ss, (avg(rx * ry) - avg(rx) * avg(ry)) / (stddev_pop(rx) * stddev_pop(ry)) AS rho, count(*) AS n FROM r)
 SELECT {_r("any_value(rho)")} AS rho, {_r("avg((abs((m - mx * my) / ss) >= abs(rho) - 1e-12)::INT)")} AS p_value, any_value(n) AS n, count(*)::INT AS draws FROM c, k"""
     q["spearman_ratio"] = f"""WITH {CUSTOMERS}, r AS (SELECT *, {_rank("paired_min")} AS rx, {_rank("ratio")} AS ry, {_rank("liquidity")} AS rl, row_number() OVER (ORDER BY ratio DESC, printf('%02d', id)) AS k FROM vr),
 c AS (SELECT *, {_rank("paired_min")} AS sx, {_rank("ratio")} AS sy FROM vr JOIN (SELECT id, k FROM r) USING (id) WHERE k > 6),
+num AS (SELECT *, printf('%02d', id) AS name, row_number() OVER (ORDER BY printf('%02d', id)) AS i FROM r),
+sh AS (SELECT draw, ry, row_number() OVER (PARTITION BY draw ORDER BY md5(concat_ws('|', 0, draw, name)), name) AS i FROM num, generate_series(1, 20000) g(draw)),
+pm AS (SELECT draw, avg(num.rx * sh.ry) AS m FROM sh JOIN num USING (i) GROUP BY ALL), pk AS (SELECT avg(rx) * avg(ry) AS mm, stddev_pop(rx) * stddev_pop(ry) AS ss, corr(rx, ry) AS rho FROM r),
+pv AS (SELECT avg((abs((m - mm) / ss) >= abs(rho) - 1e-12)::INT) AS p FROM pm, pk),
 t AS (SELECT count(*) AS trimmed_tokens, CASE WHEN count(*) >= 10 THEN corr(sx, sy) END AS rho_trimmed FROM c)
-SELECT count(*) AS tokens, {_r("corr(rx, ry)")} AS rho, {_r("any_value(rho_trimmed)")} AS rho_trimmed, any_value(trimmed_tokens) AS trimmed_tokens, {_r("corr(rx, rl)")} AS rho_liquidity, {_r("quantile_cont(ratio, 0.5)", 4)} AS median_ratio, {_r("max(ratio)", 2)} AS max_ratio FROM r, t"""
+SELECT count(*) AS tokens, {_r("any_value(p)")} AS p_value, {_r("corr(rx, ry)")} AS rho, {_r("any_value(rho_trimmed)")} AS rho_trimmed, any_value(trimmed_tokens) AS trimmed_tokens, {_r("corr(rx, rl)")} AS rho_liquidity, {_r("quantile_cont(ratio, 0.5)", 4)} AS median_ratio, {_r("max(ratio)", 2)} AS max_ratio FROM r, t, pv"""
     q["group_buckets"] = f"WITH m AS (SELECT o_custkey, count(*) AS paired_min FROM orders GROUP BY ALL) SELECT c_custkey::VARCHAR AS symbol, paired_min, {_r('1000 / greatest(round(c_acctbal), 1)')} AS ratio, CASE WHEN paired_min < 10 THEN 'dead' WHEN c_nationkey % 3 = 0 THEN 'ranked' ELSE 'thin' END AS \"group\" FROM customer LEFT JOIN m ON c_custkey = o_custkey"
     q["strict_tally"] = "WITH w AS (SELECT l_quantity / max(l_quantity) OVER (PARTITION BY l_partkey) AS w FROM lineitem) SELECT CASE WHEN w > 0.7 THEN 'cex' WHEN w < 0.3 THEN 'dex' WHEN w IS NOT NULL THEN 'unclassified' END AS class, count(*) AS n FROM w GROUP BY ALL"
     q["token_dependence"] = f"WITH {_legs()} SELECT leg, token_pairs, usable_pairs, pairs_below_floor, median_overlap, {_r('median')} AS median, {_r('mean')} AS mean, {_r('low')} AS low, {_r('high')} AS high FROM dep"
@@ -272,23 +277,34 @@ SELECT count(*) AS tokens, {_r("corr(rx, ry)")} AS rho, {_r("any_value(rho_trimm
     q["sign_test"] = f"""WITH s AS (SELECT user_id, count(*) AS total, count(CASE WHEN value > 100 THEN 1 END) AS led FROM events GROUP BY ALL),
 n AS (SELECT user_id, led, total, unnest(generate_series(greatest(led, total - led), total)) AS k FROM s)
 SELECT user_id, led, total, {_r("least(1.0, 2 * sum(exp(lgamma(total + 1) - lgamma(k + 1) - lgamma(total - k + 1) - total * ln(2))))")} AS p FROM n GROUP BY ALL"""
-    q["windows_leadership"] = f"""WITH {_paired(split=True)},{_vecm()}, w AS (SELECT window_, symbol, round(leads::INT * 0.5 + 0.3, 3) AS w FROM f)
-SELECT symbol, max(CASE WHEN window_ = 'w0' THEN w END) AS w0, max(CASE WHEN window_ = 'w1' THEN w END) AS w1, max(CASE WHEN window_ = 'w2' THEN w END) AS w2, count(w) AS windows_ranked, coalesce(bool_and(w > 0.5), false) AS led_every_window, CASE WHEN count(w) >= 2 THEN max(w) - min(w) END AS spread_across_windows FROM w GROUP BY ALL"""
+    q["windows_leadership"] = f"""WITH {_paired(split=True)},{_vecm()}, w AS (SELECT window_, symbol, {_r("w_a", 4)} AS w FROM f)
+SELECT symbol, max(CASE WHEN window_ = 'w0' THEN w END) AS w0, max(CASE WHEN window_ = 'w1' THEN w END) AS w1, max(CASE WHEN window_ = 'w2' THEN w END) AS w2, count(w) AS windows_ranked, coalesce(bool_and(w > 0.5), false) AS led_every_window, round(CASE WHEN count(w) >= 2 THEN max(w) - min(w) END, 4) + 0.0 AS spread_across_windows FROM w GROUP BY ALL"""
     q["replication"] = f"WITH {_paired(split=True)},{_vecm()} SELECT x.symbol, {_r('x.speed_a')} AS speed_cex_first, {_r('x.speed_b')} AS speed_dex_first, {_r('y.speed_a')} AS speed_cex_second, {_r('y.speed_b')} AS speed_dex_second, x.leads AND y.leads AS leads_both FROM f x JOIN f y ON x.symbol = y.symbol AND x.window_ = 'w0' AND y.window_ = 'w1'"
+    q["replication_drift"] = f"WITH {_paired(split=True)},{_vecm()} SELECT count(*) AS shared, count(CASE WHEN x.leads AND y.leads THEN 1 END) AS led_both, {_r('max(abs(y.w_a - x.w_a))', 4)} AS largest_drift FROM f x JOIN f y ON x.symbol = y.symbol AND x.window_ = 'w0' AND y.window_ = 'w1'"
     q["lead_tally"] = f'WITH {_paired(split=True)},{_vecm()} SELECT window_ AS "window", count(CASE WHEN leads THEN 1 END) AS led, count(*) AS total FROM f GROUP BY ROLLUP (window_) HAVING count(*) > 0'
     line = lambda y: f"CASE WHEN c1.k IS NULL THEN c0.{y} ELSE c0.{y} + (v - c0.k) / (c1.k - c0.k) * (c1.{y} - c0.{y}) END"
     q["staleness_risk"] = f"""WITH {_coverage(True)}, cv AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM (SELECT k::DOUBLE AS k, dr::DOUBLE AS dr, ho::DOUBLE AS ho FROM {CURVE} t(k, dr, ho))), x AS (SELECT window_, symbol, fill_rate, least(greatest(fill_rate, 0.05), 1.0) AS v FROM cover)
 SELECT window_ AS "window", symbol, fill_rate, {_r(line("dr"))} AS false_lead_drop, {_r(line("ho"))} AS false_lead_hold FROM x JOIN cv c0 ON v >= c0.k LEFT JOIN cv c1 ON c1.i = c0.i + 1 WHERE c1.k IS NULL OR v < c1.k"""
-    q["floor_summary"] = f"WITH {THRESHOLD} SELECT window_ AS \"window\", CASE WHEN kept THEN 'kept' WHEN w_a IS NOT NULL THEN 'below' ELSE 'refused' END AS band, count(*) AS series, count(CASE WHEN leads THEN 1 END) AS leaning, min(minutes) AS least, max(minutes) AS most FROM thr2 GROUP BY ALL"
-    q["alignment_summary"] = f'WITH {_alignment(True)} SELECT window_ AS "window", count(*) AS series, sum(rows_as_collected)::BIGINT AS rows_before, sum(rows_realigned)::BIGINT AS rows_after, count(CASE WHEN leads_as_collected AND NOT leads_realigned THEN 1 END) AS leads_lost, count(CASE WHEN stationary_as_collected THEN 1 END) AS stationary_before, count(CASE WHEN stationary_realigned THEN 1 END) AS stationary_after FROM al GROUP BY ALL'
+    q["floor_summary"] = f"WITH {THRESHOLD} SELECT window_ AS \"window\", CASE WHEN kept THEN 'kept' WHEN w_a IS NOT NULL THEN 'below' ELSE 'refused' END AS band, count(*) AS series, count(CASE WHEN leads THEN 1 END) AS leaning, {_r('quantile_cont(w_a, 0.5)', 4)} AS median_w, min(minutes) AS least, max(minutes) AS most, count(CASE WHEN w_a < 0 OR w_a > 1 THEN 1 END) AS outside FROM thr2 GROUP BY ALL"
+    kind = lambda w, c: {"cex": f"{w} > 0.7", "dex": f"{w} < 0.3", "unclassified": f"{w} BETWEEN 0.3 AND 0.7"}[c]
+    tallies = ", ".join(f"count(CASE WHEN {kind(w, c)} THEN 1 END) AS {c}_{side}" for w, side in (("w0", "as_collected"), ("w1", "realigned")) for c in ("cex", "dex", "unclassified"))
+    q["alignment_summary"] = f"""WITH {_alignment(True)} SELECT window_ AS "window", count(*) AS series, count(CASE WHEN w1 > w0 THEN 1 END) AS moved_towards, {_r("max(CASE WHEN w1 < w0 THEN w0 - w1 END)", 4)} AS largest_against, count(CASE WHEN w0 > 0.5 AND w1 <= 0.5 THEN 1 END) AS leads_lost, {tallies},
+{_r("quantile_cont(w0, 0.5)", 4)} AS median_w_as_collected, {_r("quantile_cont(w1, 0.5)", 4)} AS median_w_realigned, {_r("quantile_cont(sd0, 0.5)", 4)} AS median_sd_as_collected, {_r("quantile_cont(sd1, 0.5)", 4)} AS median_sd_realigned FROM al WHERE w0 IS NOT NULL AND w1 IS NOT NULL GROUP BY ALL"""
+    picks = ", ".join(f"{_r(f'max(CASE WHEN lags = {n} THEN u.w_a END)', 4)} AS w_lags_{n}" for n in (1, 3, 5, 10))
+    q["pivot_weights"] = f"""WITH {_paired()},{LAG_FITS}, u AS ({LAG_UNION}), coarse AS (SELECT window_, symbol, paired.ts // {5 * HOUR} * {5 * HOUR} AS ts, arg_max(cex, paired.ts) AS cex, arg_max(dex, paired.ts) AS dex FROM paired GROUP BY window_, symbol, paired.ts // {5 * HOUR}),{_vecm("coarse", "fc")}, names AS (SELECT DISTINCT symbol FROM paired)
+SELECT symbol, {_r("any_value(f5.w_a)", 4)} AS w_grid_fine, {_r("any_value(fc.w_a)", 4)} AS w_grid_coarse, {picks} FROM names LEFT JOIN u USING (symbol) LEFT JOIN f5 USING (symbol) LEFT JOIN fc USING (symbol) GROUP BY symbol"""
+    gate = GATE.format("cex_moves", "dex_moves")
+    pick = lambda x, e: _r(f"max(CASE WHEN regime = '{x}' THEN {e} END)", 4)
+    wide = ", ".join(f"{pick(x, e)} AS {n}_{x}" for n, e in (("gap", "mean_gap_pct"), ("w", f"CASE WHEN {gate} THEN w_a END")) for x in ("all", "open", "closed"))
+    q["pivot_regimes"] = f"WITH {PANEL} SELECT symbol, {wide} FROM r2 LEFT JOIN f USING (window_, symbol, regime) GROUP BY symbol"
     q["pivot_lags"] = f"WITH {_paired()},{LAG_FITS}, u AS ({LAG_UNION}) SELECT symbol, {', '.join(f'bool_or(CASE WHEN lags = {n} THEN leads END) AS leads_{n}' for n in (1, 3, 5, 10))} FROM u GROUP BY ALL"
     q["lag_flips"] = f"WITH {_paired()},{LAG_FITS}, u AS ({LAG_UNION}) SELECT symbol, count(DISTINCT leads) AS leaders, count(*) AS orders FROM u GROUP BY ALL"
     q["closed_share"] = f"WITH {_paired()} SELECT symbol, {_r(f'avg(CASE WHEN {OPEN} THEN 0.0 ELSE 1.0 END)')} AS closed_share FROM paired GROUP BY ALL"
-    q["regime_crossing"] = f"WITH {SESSIONS} SELECT symbol, leads_all, leads_shut FROM sess2 WHERE leads_all <> leads_shut"
+    q["regime_crossing"] = f"WITH {SESSIONS} SELECT symbol, {_r('w_all', 4)} AS w_all, {_r('w_shut', 4)} AS w_shut FROM sess2 WHERE (w_all > 0.5) <> (w_shut > 0.5)"
+    q["crossing_summary"] = f"WITH {SESSIONS} SELECT count(*) AS crossings, count(CASE WHEN w_all BETWEEN 0.3 AND 0.7 THEN 1 END) + count(CASE WHEN w_shut BETWEEN 0.3 AND 0.7 THEN 1 END) AS in_band FROM sess2 WHERE (w_all > 0.5) <> (w_shut > 0.5)"
     q["median_split"] = f"WITH {_paired(split=True)}, s AS (SELECT window_, symbol, (ts - lag(ts) OVER (PARTITION BY window_, symbol ORDER BY ts)) / {HOUR}.0 AS g FROM paired), m AS (SELECT window_, symbol, avg(g) AS mean_step FROM s GROUP BY ALL) SELECT window_ AS \"window\", symbol, {_r('mean_step')} AS mean_step, CASE WHEN mean_step <= quantile_cont(mean_step, 0.5) OVER (PARTITION BY window_) THEN 'low' ELSE 'high' END AS half FROM m"
     say = lambda f: f"strftime(make_timestamp({f}(ts) * 1000000), '%-d %B %H:%M')"
     q["pass_window"] = f'WITH {_paired(split=True)} SELECT window_ AS "window", {say("min")} AS begins, {say("max")} AS ends FROM paired GROUP BY ALL'
-    q["checks_table"] = f"WITH {_paired()},{_vecm()} SELECT 'Does the first venue lead?' AS question, 'error-correction speeds' AS method, count(CASE WHEN leads THEN 1 END) || ' of ' || count(*) AS result, CASE WHEN count(CASE WHEN leads THEN 1 END) * 2 > count(*) THEN 'good' ELSE 'warn' END AS tone FROM f"
     q["topup_anti"] = 'SELECT DISTINCT event_type AS "window", user_id AS symbol FROM events a WHERE NOT EXISTS (SELECT 1 FROM events b WHERE b.value > 50 AND b.event_type = a.event_type AND b.user_id = a.user_id)'
     q["semi_ranked"] = "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) >= 12)"
     q["key_sets"] = "WITH a AS (SELECT c_nationkey::BIGINT AS k FROM customer), b AS (SELECT s_nationkey::BIGINT AS k FROM supplier), u AS ((SELECT 'both' AS part, k FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) UNION ALL (SELECT 'left', k FROM (SELECT k FROM a EXCEPT ALL SELECT k FROM b)) UNION ALL (SELECT 'right', k FROM (SELECT k FROM b EXCEPT ALL SELECT k FROM a))) SELECT part, k, count(*) AS n FROM u GROUP BY ALL"
@@ -311,18 +327,29 @@ SELECT symbol, mint, issuer_mint IS NOT NULL AS issuer_lists_symbol, issuer_mint
     q["mirror_drift"] = "SELECT n_name AS name, sha256(n_name) AS sha_a, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE sha256(lower(n_name)) END AS sha_b FROM nation WHERE n_nationkey % 5 = 0 OR (n_nationkey % 7 = 0 AND lower(n_name) <> n_name)"
     q["text_flatten"] = r"SELECT doc_id, md5(regexp_replace(text, '\s+', ' ', 'g')) AS flat_md5 FROM documents"
     q["phrase_presence"] = r"SELECT doc_id, regexp_matches(text, '(^|[^0-9.])2\.0([^0-9]|$)') AS has_2_0, contains(text, 'the') AS has_the FROM documents"
-    q["number_tokens"] = r"SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))) AS n, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\d+(?:\.\d+)?'))), ',') AS numbers, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[-+]\d+(?:\.\d+)?'))), ',') AS signed FROM documents"
+    part, number = r"[\p{L}\p{N}_.]", r"(\p{Nd}+(?:\.\p{Nd}+)?)(?:[^\p{Nd}a-zA-Z]|$)"
+    tokens = lambda runs, first: f"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '{runs}'), lambda x: regexp_extract(x, '{first}{number}', 1)), lambda x: x <> '')))"
+    plain, minus = tokens(f"{part}+", "^"), tokens(f"(?:[^{part[1:-1]}-]|^)?--+{part}*|(?:^|[^{part[1:-1]}-])-{part}*", "^[^-]?-+")
+    q["number_tokens"] = f"SELECT doc_id, len({plain}) AS n, array_to_string({plain}, ',') AS numbers, array_to_string(list_transform({minus}, lambda x: '-' || x), ',') AS signed FROM documents"
     q["markdown_table"] = "SELECT doc_id, unnest([0, 1]) AS row, unnest([doc_id::VARCHAR, n_chars::VARCHAR]) AS id, unnest([lang, source]) AS lang FROM documents"
     q["html_cells"] = "SELECT event_id, event_type, value FROM events"
     q["page_links"] = r"SELECT page_id, len(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>')) AS paragraphs, 0 AS cells FROM pages"
-    q["html_report"] = "SELECT '<table><tr><th>key</th><th>name</th></tr>' || string_agg(CASE WHEN n_regionkey = 0 THEN '<tr class=\"tone\">' ELSE '<tr>' END || '<td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey) || '</table>' AS html FROM nation"
-    q["spelled_numbers"] = f"SELECT p_partkey, CASE WHEN p_size BETWEEN 0 AND 20 THEN {SPELLED}[p_size + 1] ELSE p_size::VARCHAR END AS spelled FROM part"
-    q["prose_blocks"] = r"WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS block FROM documents) SELECT doc_id, count(CASE WHEN NOT (regexp_matches(block, '^(?:#|>|\||!|<|-|\*|---|```|    |\d+\.)') OR contains(block, '```')) THEN 1 END) AS prose, count(*) AS blocks FROM b GROUP BY ALL"
+    q["html_report"] = """SELECT '<!doctype html><html><head><title>Report</title></head><body><h1>Report</h1><h2>Nations</h2><table><tr><th>key</th><th>name</th></tr>' || string_agg(CASE WHEN n_regionkey = 0 THEN '<tr class="tone">' ELSE '<tr>' END || '<td>' || n_nationkey || '</td><td>' || n_name || '</td></tr>', '' ORDER BY n_nationkey)
+|| '</table><h2>Regions</h2><table><tr><th>name</th></tr>' || (SELECT string_agg('<tr><td>' || r_name || '</td></tr>', '' ORDER BY r_regionkey) FROM region) || '</table></body></html>' AS html FROM nation"""
+    q["spelled_numbers"] = f"SELECT p_partkey, coalesce(map_extract_value(MAP {SPELLED}, p_size::INT), p_size::VARCHAR) AS spelled FROM part"
+    q["prose_blocks"] = r"""WITH b AS (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '^[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+|[\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]+$', '', 'g') AS block FROM documents)
+SELECT doc_id, count(CASE WHEN block <> '' AND NOT (left(block, 1) IN ('#', '|', '-', '*', '>') OR starts_with(block, '{{<') OR starts_with(block, '```') OR contains(block, chr(10) || '|') OR contains(block, chr(10) || '```')) THEN 1 END) AS prose, count(*) AS blocks FROM b GROUP BY ALL"""
     q["compound_rejoin"] = r"SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '(\w)(\w\w) ', '\1-' || chr(10) || '\2 ', 'g'), '(\w)-\n(\w)', '\1-\2', 'g')) AS joined_md5 FROM conversations"
-    q["link_heal"] = "SELECT event_id, 'see [x](http://a.b/' || user_id || '/c' || event_type || ') and (' || user_id || ' d)' AS healed FROM events"
+    gone = lambda x: rf"regexp_replace({x}, '[\s\x{{0b}}\x{{1c}}-\x{{1f}}\x{{85}}\p{{Z}}]+', '', 'g')"
+    q["link_heal"] = f"""WITH t AS (SELECT doc_id, string_split('see [x](http://a.b/' || doc_id || chr(10) || '/(c ' || lang || ') and (' || source || ' d) ' || coalesce(text, ''), '](') AS parts FROM documents),
+p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, parts FROM t),
+h AS (SELECT doc_id, i, CASE WHEN i = 1 THEN part WHEN contains(part, ')') THEN {gone("split_part(part, ')', 1)")} || substr(part, strpos(part, ')')) WHEN contains(array_to_string(list_slice(parts, i + 1, -1), ''), ')') THEN {gone("part")} ELSE part END AS part FROM p),
+j AS (SELECT doc_id, string_agg(part, '](' ORDER BY i) AS healed FROM h GROUP BY doc_id) SELECT doc_id, substr(healed, 1, 40) AS head, md5(healed) AS healed_md5 FROM j"""
     q["spoken_dates"] = "SELECT o_orderkey, strftime(o_orderdate, '%-d %B') AS spoken FROM orders"
-    q["ascii_scan"] = r"SELECT doc_id, NOT regexp_matches(text, '[^\x00-\x7F]') AS ascii FROM documents"
-    q["fenced_commands"] = "WITH c AS (SELECT conv_id, turn, unnest([role, 't' || (conv_id % 7)]) AS argument FROM conversations) SELECT conv_id, turn, argument FROM c WHERE argument NOT IN (SELECT role FROM conversations)"
+    some = lambda words: "array_to_string(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(lower(text), w)), ',')"
+    q["ascii_scan"] = rf"SELECT doc_id, NOT regexp_matches(text, '[^\x00-\x7F]') AS ascii, contains(text, chr(8212))::INT + contains(text, chr(8211))::INT AS dashes, {some(['normalize', 'summarize', 'analyze', 'behavior', 'labeled', 'modeling'])} AS american, {some(['exactly', 'significantly', 'notably', 'clearly'])} AS filler FROM documents"
+    q["fenced_commands"] = r"""WITH t AS (SELECT conv_id, turn, 'run tool ' || role || chr(10) || '```' || chr(10) || 'tool hidden' || turn || chr(10) || '```' || chr(10) || 'then tool t' || (conv_id % 7) || ' ' || coalesce(text, '') AS text FROM conversations),
+c AS (SELECT conv_id, turn, unnest(regexp_extract_all(regexp_replace(text, '(?s)```.*?```', '', 'g'), 'tool[ \t]+([A-Za-z0-9_./-]+)', 1)) AS argument FROM t) SELECT conv_id, turn, argument FROM c WHERE argument NOT IN (SELECT role FROM conversations)"""
     q["claims_check"] = f"WITH {CLAIMS} SELECT * FROM res"
     q["claims_tally"] = f"WITH {CLAIMS} SELECT surface, count(*) AS checks, count(CASE WHEN drifted OR missing THEN 1 END) AS failures FROM res GROUP BY ALL"
     q["direction_check"] = "WITH e AS (SELECT event_type, avg(value) AS m FROM events GROUP BY ALL) SELECT event_type AS surface, 'above' AS label, m > CASE WHEN event_type = 'error' THEN 1000.0 ELSE 50.0 END AS holds, m > 50 AS said, (m > 50) = (m > CASE WHEN event_type = 'error' THEN 1000.0 ELSE 50.0 END) AS agrees FROM e"

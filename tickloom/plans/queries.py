@@ -3,6 +3,7 @@ hourly bars; a window is ten days where more than one is wanted."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -179,32 +180,21 @@ def venue_matrix(spark, d):
     return m.select("venue_a", "venue_b", "minutes", "moves_a", "moves_b", tidy(F.col("speed_a")).alias("speed_a"), tidy(F.col("speed_b")).alias("speed_b"))
 
 
-def robustness(spark, d, draws=100):
-    """The flagship: every check in one plan.  The statement fixes 100 draws; robustness_full has all."""
+def robustness(spark, d):
+    """The flagship: every check in one plan."""
     b = bars(spark, d)
-    r = Q.robustness(B.pair_up(b, 0, 1), B.coverage(b, 0, 1, HOUR), draws=draws)
+    r = Q.robustness(B.pair_up(b, 0, 1), B.coverage(b, 0, 1, HOUR))
     return r.select("symbol", "paired_minutes", "fill_rate", "consecutive_share", "median_gap_min", "max_gap_min", tidy(F.col("adf")).alias("adf"), "stationary", tidy(F.col("speed_a")).alias("speed_a"), tidy(F.col("speed_b")).alias("speed_b"), tidy(F.col("is_low"), 4).alias("is_low"), tidy(F.col("is_high"), 4).alias("is_high"), tidy(F.col("rho")).alias("rho"), tidy(F.col("lead_share")).alias("lead_share"), "speeds_separated", "agree", "verdict")
 
 
-def robustness_full(spark, d):
-    """With the published number of bootstrap draws."""
-    return robustness(spark, d, S.DRAWS)
-
-
 # ------------------------------------------------------------------ resampling
 
 
-def bootstrap_lead(spark, d, draws=100):
-    """The statement fixes 100 draws; bootstrap_lead_full has all."""
-    s = S.bootstrap_summary(S.bootstrap_fits(logs(spark, d), draws))
+def bootstrap_lead(spark, d):
+    s = S.bootstrap_summary(S.bootstrap_fits(logs(spark, d)))
     return s.select("symbol", "draws", tidy(F.col("lead_share")).alias("lead_share"), *[tidy(F.col(c)).alias(c) for c in ("speed_a_low", "speed_a_high", "speed_b_low", "speed_b_high")], "speeds_separated")
 
 
-def bootstrap_lead_full(spark, d):
-    """With the published number of draws."""
-    return bootstrap_lead(spark, d, S.DRAWS)
-
-
 def _customers(spark, d):
     """Orders and account volume of the nations' customers: a stand-in for activity and volume."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
@@ -213,26 +203,22 @@ def _customers(spark, d):
     return per.groupBy(F.col("c_nationkey").alias("id")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("paired_min"), F.round(F.coalesce(F.sum("v"), F.lit(0.0))).alias("cex_vol"), F.round(F.sum("c_acctbal")).alias("dex_vol"), F.count("*").alias("liquidity"))
 
 
-def perm_spearman(spark, d, draws=2000):
-    """The statement fixes 2000 permutations; perm_spearman_full has all."""
+def perm_spearman(spark, d):
     v = _customers(spark, d).withColumn("ratio", B.premium_ratio(F.col("cex_vol"), F.col("dex_vol")))
     r = v.select("id", N.average_rank("paired_min").alias("rx"), N.average_rank("ratio").alias("ry"))
-    p = S.permutation_test(r, draws, 0)
+    p = S.permutation_test(r, S.PERMUTATIONS, 0)
     return p.select(tidy(F.col("rho")).alias("rho"), tidy(F.col("p_value")).alias("p_value"), "n", "draws")
 
 
-def perm_spearman_full(spark, d):
-    """With the published number of permutations."""
-    return perm_spearman(spark, d, S.PERMUTATIONS)
-
-
 # ------------------------------------------------------------------ relations
 
 
 def spearman_ratio(spark, d):
     v = _customers(spark, d).select(F.lit("all").alias("window"), F.format_string("%02d", "id").alias("symbol"), "paired_min", "cex_vol", "dex_vol", "liquidity")
     r = R.ratio_relation(v)
-    return r.select("tokens", tidy(F.col("rho")).alias("rho"), tidy(F.col("rho_trimmed")).alias("rho_trimmed"), "trimmed_tokens", tidy(F.col("rho_liquidity")).alias("rho_liquidity"), tidy(F.col("median_ratio"), 4).alias("median_ratio"), tidy(F.col("max_ratio"), 2).alias("max_ratio"))
+    ranked = v.withColumn("ratio", B.premium_ratio(F.col("cex_vol"), F.col("dex_vol"))).select(F.col("symbol").alias("id"), N.average_rank("paired_min").alias("rx"), N.average_rank("ratio").alias("ry"))
+    p = S.permutation_test(ranked, S.PERMUTATIONS, 0).select(tidy(F.col("p_value")).alias("p_value"))
+    return r.join(F.broadcast(p)).select("tokens", "p_value", tidy(F.col("rho")).alias("rho"), tidy(F.col("rho_trimmed")).alias("rho_trimmed"), "trimmed_tokens", tidy(F.col("rho_liquidity")).alias("rho_liquidity"), tidy(F.col("median_ratio"), 4).alias("median_ratio"), tidy(F.col("max_ratio"), 2).alias("max_ratio"))
 
 
 def group_buckets(spark, d):
@@ -270,8 +256,9 @@ def sign_test(spark, d):
 
 
 def windows_leadership(spark, d):
-    fit = E.vecm_fit(logs(spark, d, split=True)).select("window", "symbol", F.round((F.col("leads")).cast("int") * 0.5 + 0.3, 3).alias("w_a"))
-    return R.leadership_across_windows(fit, ["w0", "w1", "w2"])
+    fit = E.vecm_fit(logs(spark, d, split=True)).select("window", "symbol", tidy(F.col("w_a"), 4).alias("w_a"))
+    wide = R.leadership_across_windows(fit, R.window_labels(fit))
+    return wide.withColumn("spread_across_windows", tidy(F.col("spread_across_windows"), 4))
 
 
 def replication(spark, d):
@@ -280,29 +267,31 @@ def replication(spark, d):
     return r.select("symbol", *[tidy(F.col(c)).alias(c) for c in ("speed_cex_first", "speed_dex_first", "speed_cex_second", "speed_dex_second")], "leads_both")
 
 
-def lead_tally(spark, d):
-    return R.lead_tally(E.vecm_fit(logs(spark, d, split=True)), "window")
+def replication_drift(spark, d):
+    r = R.replication_drift(R.replication(E.vecm_fit(logs(spark, d, split=True)), "w0", "w1"))
+    return r.select("shared", "led_both", tidy(F.col("largest_drift"), 4).alias("largest_drift"))
 
 
-#: FIXED VALUES: false-lead rates of the sampling simulation, by share kept.
-CURVE = [(0.05, 0.375, 1.0), (0.1, 0.2, 1.0), (0.2, 0.175, 1.0), (0.3, 0.125, 1.0), (0.45, 0.025, 1.0), (0.6, 0.0, 1.0), (0.8, 0.0, 0.95), (1.0, 0.0, 0.0)]
+def lead_tally(spark, d):
+    return R.lead_tally(E.vecm_fit(logs(spark, d, split=True)), "window")
 
 
 def staleness_risk(spark, d):
-    curve = spark.createDataFrame(CURVE, "keep double, rate_drop double, rate_hold double")
+    """Fill rates read off the curve that the sampling simulation gives, all of its runs."""
     c = B.coverage(bars(spark, d, split=True), 0, 1, HOUR).select("window", "symbol", "fill_rate")
-    out = N.interpolate(N.interpolate(c, curve, "keep", "rate_drop", "fill_rate", "false_lead_drop"), curve, "keep", "rate_hold", "fill_rate", "false_lead_hold")
+    out = Q.staleness_risk(c, M.staleness(spark, [4000], M.KEEPS, M.RUNS))
     return out.select("window", "symbol", "fill_rate", tidy(F.col("false_lead_drop")).alias("false_lead_drop"), tidy(F.col("false_lead_hold")).alias("false_lead_hold"))
 
 
 def floor_summary(spark, d):
     s = Q.floor_summary(Q.threshold(paired(spark, d, split=True)))
-    return s.select("window", "band", "series", "leaning", "least", "most")
+    return s.select("window", "band", "series", "leaning", tidy(F.col("median_w"), 4).alias("median_w"), "least", "most", "outside")
 
 
 def alignment_summary(spark, d):
-    a = Q.alignment(paired(spark, d, split=True), HOUR)
-    return a.groupBy("window").agg(F.count("*").alias("series"), F.sum("rows_as_collected").alias("rows_before"), F.sum("rows_realigned").alias("rows_after"), F.count_if(F.col("leads_as_collected") & ~F.col("leads_realigned")).alias("leads_lost"), F.count_if("stationary_as_collected").alias("stationary_before"), F.count_if("stationary_realigned").alias("stationary_after"))
+    a = Q.alignment_summary(Q.alignment(paired(spark, d, split=True), HOUR), "window")
+    tidied = [c for c in a.columns if c.startswith(("median_", "largest_"))]
+    return a.withColumns({c: tidy(F.col(c), 4) for c in tidied})
 
 
 def pivot_lags(spark, d):
@@ -310,6 +299,23 @@ def pivot_lags(spark, d):
     return s.groupBy("symbol").pivot("lags", [1, 3, 5, 10]).agg(F.first("leads")).select("symbol", *[F.col(str(n)).alias(f"leads_{n}") for n in (1, 3, 5, 10)])
 
 
+def pivot_weights(spark, d):
+    """The weight at each lag order and on each grid, side by side."""
+    p = paired(spark, d)
+    lags = Q.widened(Q.lag_sweep(p), "symbol", "lags", [1, 3, 5, 10], "w_a", "w_lags")
+    grids = Q.widened(Q.grid_sweep(p, 5 * HOUR), "symbol", "grid", ["fine", "coarse"], "w_a", "w_grid")
+    both = grids.join(lags, "symbol", "left")
+    return both.select("symbol", *[tidy(F.col(c), 4).alias(c) for c in both.columns if c != "symbol"])
+
+
+def pivot_regimes(spark, d):
+    """Premium and weight of each regime, side by side."""
+    p = Q.session_panel(paired(spark, d))
+    regimes = ["all", "open", "closed"]
+    wide = Q.widened(p, "symbol", "regime", regimes, "mean_gap_pct", "gap").join(Q.widened(p, "symbol", "regime", regimes, "w_a", "w"), "symbol")
+    return wide.select("symbol", *[tidy(F.col(c), 4).alias(c) for c in wide.columns if c != "symbol"])
+
+
 def lag_flips(spark, d):
     """Distinct leaders over lag orders: more than one is a flip."""
     s = Q.lag_sweep(paired(spark, d))
@@ -322,8 +328,12 @@ def closed_share(spark, d):
 
 
 def regime_crossing(spark, d):
-    s = Q.sessions(paired(spark, d))
-    return s.where("leads_all <> leads_shut").select("symbol", "leads_all", "leads_shut")
+    s = Q.crossings(Q.sessions(paired(spark, d)))
+    return s.select("symbol", tidy(F.col("w_all"), 4).alias("w_all"), tidy(F.col("w_shut"), 4).alias("w_shut"))
+
+
+def crossing_summary(spark, d):
+    return Q.crossing_summary(Q.sessions(paired(spark, d)))
 
 
 def median_split(spark, d):
@@ -339,9 +349,16 @@ def pass_window(spark, d):
 
 
 def checks_table(spark, d):
-    """Question, method and result as text, from one plan."""
-    f = E.vecm_fit(logs(spark, d)).agg(F.count_if("leads").alias("led"), F.count("*").alias("n"))
-    return f.select(F.lit("Does the first venue lead?").alias("question"), F.lit("error-correction speeds").alias("method"), F.format_string("%d of %d", "led", "n").alias("result"), F.when(F.col("led") * 2 > F.col("n"), "good").otherwise("warn").alias("tone"))
+    """Question, method and result of all twelve checks as text."""
+    b = bars(spark, d, split=True)
+    p, cover = paired(spark, d, split=True), B.coverage(b, 0, 1, HOUR)
+    fits = E.vecm_fit(E.log_prices(p))
+    risk = Q.staleness_risk(cover.select("window", "symbol", "fill_rate"), M.staleness(spark, [4000], M.KEEPS, M.RUNS))
+    spaced = B.spacing(p, HOUR).join(fits.select("window", "symbol", "w_a"), ["window", "symbol"])
+    robust = Q.robustness(p, cover).where("verdict = 'ranked'")
+    across = R.leadership_across_windows(fits.select("window", "symbol", "w_a"), R.window_labels(fits))
+    one = paired(spark, d)
+    return Q.checks_table(Q.alignment(p, HOUR), robust, E.vector_check(E.log_prices(p)), risk, spaced, Q.lag_sweep(one), Q.grid_sweep(one, 5 * HOUR), Q.dependence(one, HOUR, 60), Q.threshold(p).where("not kept"), across)
 
 
 # ------------------------------------------------------------------ sets, order, joins
@@ -382,7 +399,7 @@ def top_gaps(spark, d):
 
 def wide_windows(spark, d):
     t = B.coverage(bars(spark, d, split=True), 0, 1, HOUR)
-    return t.groupBy("symbol").pivot("window", ["w0", "w1", "w2"]).agg(F.first("paired_minutes"))
+    return t.groupBy("symbol").pivot("window", R.window_labels(t)).agg(F.first("paired_minutes"))
 
 
 # ------------------------------------------------------------------ sources
@@ -543,9 +560,10 @@ def page_links(spark, d):
 
 
 def html_report(spark, d):
-    n = table(spark, d, "nation")
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
     rows = n.select(F.col("n_nationkey").alias("k"), X.html_row([F.col("n_nationkey"), F.col("n_name")], F.when(F.col("n_regionkey") == 0, F.lit("tone"))).alias("html"))
-    return C.html_table(rows, ["key", "name"], "k")
+    more = r.select(F.col("r_regionkey").alias("k"), X.html_row([F.col("r_name")]).alias("html"))
+    return C.html_page("Report", [("Nations", C.html_table(rows, ["key", "name"], "k")), ("Regions", C.html_table(more, ["name"], "k"))])
 
 
 def spelled_numbers(spark, d):
@@ -553,7 +571,7 @@ def spelled_numbers(spark, d):
 
 
 def prose_blocks(spark, d):
-    b = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "block"))
+    b = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("at", "block"))
     return b.groupBy("doc_id").agg(F.count_if(X.is_prose(F.col("block"))).alias("prose"), F.count("*").alias("blocks"))
 
 
@@ -563,8 +581,10 @@ def compound_rejoin(spark, d):
 
 
 def link_heal(spark, d):
-    text = F.concat(F.lit("see [x](http://a.b/"), F.col("user_id"), F.lit("\n/c "), F.col("event_type"), F.lit(") and ("), F.col("user_id"), F.lit(" d)"))
-    return table(spark, d, "events").select("event_id", X.heal_links(text).alias("healed"))
+    """Whole texts with a broken link in front of each."""
+    text = F.concat(F.lit("see [x](http://a.b/"), F.col("doc_id"), F.lit("\n/(c "), F.col("lang"), F.lit(") and ("), F.col("source"), F.lit(" d) "), F.coalesce("text", F.lit("")))
+    healed = X.heal_links(text)
+    return table(spark, d, "documents").select("doc_id", F.substring(healed, 1, 40).alias("head"), F.md5(healed).alias("healed_md5"))
 
 
 def wrap(spark, d):
@@ -577,11 +597,12 @@ def spoken_dates(spark, d):
 
 
 def ascii_scan(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.is_ascii(F.col("text")).alias("ascii"))
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", X.is_ascii(t).alias("ascii"), F.size(X.found_in(t, X.DASHES)).alias("dashes"), F.array_join(X.found_in(t, X.AMERICAN), ",").alias("american"), F.array_join(X.found_in(t, X.FILLER), ",").alias("filler"))
 
 
 def fenced_commands(spark, d):
-    text = F.concat(F.lit("run tool "), F.col("role"), F.lit("\n```\ntool hidden"), F.col("turn"), F.lit("\n```\nthen tool t"), F.col("conv_id") % 7)
+    text = F.concat(F.lit("run tool "), F.col("role"), F.lit("\n```\ntool hidden"), F.col("turn"), F.lit("\n```\nthen tool t"), F.col("conv_id") % 7, F.lit(" "), F.coalesce("text", F.lit("")))
     c = table(spark, d, "conversations").select("conv_id", "turn", F.explode(X.commands(X.without_fences(text), "tool")).alias("argument"))
     known = table(spark, d, "conversations").select(F.col("role").alias("argument")).distinct()
     return c.join(known, "argument", "left_anti").select("conv_id", "turn", "argument")
@@ -643,24 +664,24 @@ def sim_staleness_matched(spark, d):
 
 def stream_pairs(spark, d):
     """A streaming run to its end over the events; the last buckets stay open behind the watermark."""
-    import uuid
+    import tempfile
 
     from ..streaming.bars import paired_stream
 
     schema = table(spark, d, "events").schema
     src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     t = src.select(F.lit("all").alias("window"), F.col("event_type").alias("symbol"), (F.col("user_id") % 2).alias("venue"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), "value")
-    name = f"pairs_{uuid.uuid4().hex}"
-    q = paired_stream(t, "1 hour", "1 hour").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    out = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()) + f"/pairs-{uuid.uuid4().hex}"
+    q = paired_stream(t, "1 hour", "1 hour").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema("window string, symbol string, ts long, cex double, dex double").parquet(f"{out}/rows")
 
 
 ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     bars_close, paired_bars, coverage, spacing, moves_premium, session_regimes, gap_changes, realign, dense_lag_profile, grid_resample, forward_fill, thin_drop, thin_hold, orders_paired,
-    vecm_fit, vecm_lag_sweep, vecm_grid, vecm_sessions, vecm_threshold, vecm_orders, hasbrouck, adf_spread, vector_check, alignment, session_panel, venue_matrix, robustness, robustness_full,
-    bootstrap_lead, bootstrap_lead_full, perm_spearman, perm_spearman_full, spearman_ratio, group_buckets, strict_tally, token_dependence, pair_spine, effective_pairs, sign_test, windows_leadership, replication, lead_tally, staleness_risk,
-    floor_summary, alignment_summary, pivot_lags, lag_flips, closed_share, regime_crossing, median_split, pass_window, checks_table,
+    vecm_fit, vecm_lag_sweep, vecm_grid, vecm_sessions, vecm_threshold, vecm_orders, hasbrouck, adf_spread, vector_check, alignment, session_panel, venue_matrix, robustness,
+    bootstrap_lead, perm_spearman, spearman_ratio, group_buckets, strict_tally, token_dependence, pair_spine, effective_pairs, sign_test, windows_leadership, replication, replication_drift, lead_tally, staleness_risk,
+    floor_summary, alignment_summary, pivot_lags, pivot_weights, pivot_regimes, lag_flips, closed_share, regime_crossing, crossing_summary, median_split, pass_window, checks_table,
     topup_anti, semi_ranked, key_sets, order_contract, top_gaps, wide_windows, json_layouts, page_overlap, universe_screen, deepest_pools, impostors, registry_check,
     issuer_list, pool_search, universe_build, group_medians, rolling_sums, sets_disjoint, mirror_drift, simulated_pair,
     text_flatten, phrase_presence, number_tokens, markdown_table, html_cells, page_links, html_report, spelled_numbers, prose_blocks, compound_rejoin, link_heal, wrap, spoken_dates, ascii_scan, fenced_commands,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import interpolate, strict_class
 from ..operators import bars as B
 from ..operators import estimators as E
 from ..operators import relation as R
@@ -19,8 +20,8 @@ def counted(paired: DataFrame) -> DataFrame:
 
 def enough(paired: DataFrame, least: int = MIN_PAIRED) -> DataFrame:
     """Only series with so many rows."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*KEYS))
-    return paired.withColumn("_n", n).where(F.col("_n") >= least).drop("_n")
+    long = counted(paired).where(F.col("minutes") >= least).select(F.col("window").alias("_w"), F.col("symbol").alias("_s"))
+    return paired.join(long, (F.col("window") == F.col("_w")) & (F.col("symbol") == F.col("_s")), "left_semi")
 
 
 def robustness(paired: DataFrame, cover: DataFrame, draws: int = S.DRAWS, least: int = MIN_PAIRED, lags: int = LAGS) -> DataFrame:
@@ -94,6 +95,84 @@ def alignment(paired: DataFrame, step: int, lags: int = LAGS) -> DataFrame:
     return out.join(B.lag_profile(paired, 3, step).drop("profile"), KEYS, "left")
 
 
+def alignment_summary(table: DataFrame, *groups: str) -> DataFrame:
+    """What realigning changes over series with both weights: moves towards the first venue, the largest
+    move against it, leads lost, strict classes before and after, medians of weights and of spread sizes."""
+    move = F.col("w_realigned") - F.col("w_as_collected")
+    sides = [(s, F.col(f"w_{s}")) for s in ("as_collected", "realigned")]
+    counts = [F.count_if(strict_class(w) == c).alias(f"{c}_{s}") for s, w in sides for c in ("cex", "dex", "unclassified")]
+    return table.where("w_as_collected is not null and w_realigned is not null").groupBy(*groups).agg(
+        F.count("*").alias("series"), F.count_if(move > 0).alias("moved_towards"), F.max(F.when(move < 0, -move)).alias("largest_against"), F.count_if((F.col("w_as_collected") > 0.5) & (F.col("w_realigned") <= 0.5)).alias("leads_lost"), *counts,
+        *[F.percentile(w, 0.5).alias(f"median_w_{s}") for s, w in sides], *[F.percentile(f"spread_sd_bp_{s}", 0.5).alias(f"median_sd_{s}") for s, _ in sides],
+    )
+
+
+def crossings(table: DataFrame) -> DataFrame:
+    """Series of sessions() whose leader outside the session is another than over the whole window."""
+    return table.where((F.col("w_all") > 0.5) != (F.col("w_shut") > 0.5))
+
+
+def crossing_summary(table: DataFrame) -> DataFrame:
+    """How many series cross, and how many of their weights are inside the strict band."""
+    inside = lambda c: F.count_if(strict_class(F.col(c)) == "unclassified")
+    return crossings(table).agg(F.count("*").alias("crossings"), (inside("w_all") + inside("w_shut")).alias("in_band"))
+
+
+def widened(table: DataFrame, rows: str, column: str, labels: list, value: str, name: str) -> DataFrame:
+    """One column ``name``_label for each label: the average of value, NULL where there is none."""
+    wide = table.groupBy(rows).pivot(column, labels).agg(F.avg(value))
+    return wide.select(rows, *[F.col(f"`{x}`").alias(f"{name}_{x}") for x in labels])
+
+
+def flips(table: DataFrame) -> DataFrame:
+    """(leaders, of): distinct leaders of each symbol over refitted settings, as counts of symbols."""
+    per = table.where("leads is not null").groupBy("symbol").agg(F.countDistinct("leads").alias("n"))
+    return per.agg(F.count_if(F.col("n") > 1).alias("changed"), F.count_if(F.col("n") == 1).alias("same"), F.count("*").alias("symbols"))
+
+
+def checks_table(aligned: DataFrame, robust: DataFrame, vector: DataFrame, risk: DataFrame, spaced: DataFrame, lags: DataFrame, grid: DataFrame, dep: DataFrame, below: DataFrame, across: DataFrame) -> DataFrame:
+    """(at, question, method, result, tone): the twelve checks of a study, each one line of text.
+
+    Every input is the frame of its study (spaced: mean_step and w_a of each series).  A check that found
+    something, or that only probes, has an empty tone."""
+    pct = lambda c: F.format_string("%.0f%%", F.col(c) * 100)
+    text = lambda form, *c: F.format_string(form, *[F.col(x) if isinstance(x, str) else x for x in c])
+    fitted = aligned.where("w_realigned is not null").agg(F.count_if(F.col("w_realigned") > 0.5).alias("a"), F.count("*").alias("n"), F.count_if(F.col("w_as_collected") > 0.5).alias("b"))
+    held = robust.agg(F.count_if("stationary").alias("s"), F.count_if("agree").alias("g"), F.count("*").alias("n"), F.min("lead_share").alias("lo"), F.max("lead_share").alias("hi"))
+    lean = below.agg(F.count_if(F.col("w_a") > 0.5).alias("a"), F.count("w_a").alias("n"), F.percentile("w_a", 0.5).alias("m"), F.count_if(F.col("w_a").isNull()).alias("thin"))
+    legs = dep.agg(F.max(F.when(F.col("leg") == "spread", F.col("median"))).alias("s"), F.max(F.when(F.col("leg") == "cex", F.col("median"))).alias("c"))
+    rows: list[tuple[str, str, DataFrame, Column, str]] = [
+        ("Did both tapes mean the same instant", "refitted on the corrected alignment", fitted, text("first venue ahead in %d of %d, against %d as collected", "a", "n", "b"), ""),
+        ("Are the two series cointegrated at all", "augmented Dickey-Fuller on each spread", held, text("stationary in %d of %d", "s", "n"), "pass"),
+        ("Does imposing a one-for-one error term matter", "cointegrating vector fitted instead", vector.agg(F.count_if("same_leader").alias("a"), F.count("*").alias("n")), text("same leader in %d of %d", "a", "n"), "pass"),
+        ("Does a second estimator agree", "Hasbrouck information shares", held, text("same direction in %d of %d", "g", "n"), "pass"),
+        ("Can the token's own data support it", "block bootstrap over the fitted rows", held, text("first venue ahead in %s to %s of resamples", pct("lo"), pct("hi")), "pass"),
+        ("Could sparse trading have invented it", "simulation with the second venue as known leader", risk.agg(F.min("false_lead_drop").alias("lo"), F.max("false_lead_drop").alias("hi")), text("error %s to %s at these fill rates", pct("lo"), pct("hi")), "pass"),
+        ("Do the sparser pairs read differently", "spacing against the weight, across every ranked series", R.spearman(spaced, "mean_step", "w_a"), text("rank correlation %+.2f over %d series", "rho", "n"), "pass"),
+        ("Does the answer depend on the lag order", "refitted at several lags", flips(lags), text("leader changes in %d of %d", "changed", "symbols"), "pass"),
+        ("Does it depend on the grid", "refitted on coarser bars", flips(grid), text("same leader in %d of %d", "same", "symbols"), "pass"),
+        ("Are the pairs separate draws or one market", "cross-token correlation of the spread the model fits", legs, text("%.2f, against %.2f on the first venue's legs", "s", "c"), "pass"),
+        ("Does the floor pick its own answer", "the estimator run below the floor", lean, text("%d of %d lean the same way, median %.2f, %d too thin to fit", "a", "n", "m", "thin"), ""),
+        ("Does it survive different days", "collection repeated", across.where("windows_ranked > 0").agg(F.count_if("led_every_window").alias("a"), F.count("*").alias("n")), text("led in every window ranked, %d of %d tokens", "a", "n"), "pass"),
+    ]
+    out = None
+    for at, (question, method, frame, result, tone) in enumerate(rows):
+        one = frame.select(F.lit(at).alias("at"), F.lit(question).alias("question"), F.lit(method).alias("method"), result.alias("result"), F.lit(tone).alias("tone"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def staleness_risk(cover: DataFrame, runs: DataFrame) -> DataFrame:
+    """The false-lead rates that the sampling simulation gives at each series' fill rate; cover has fill_rate,
+    runs is the simulation of both schemes at one length."""
+    per = runs.where("leads is not null").groupBy("keep").agg(*[F.avg(F.when(F.col("scheme") == s, F.col("leads").cast("double"))).alias(f"rate_{s}") for s in ("drop", "hold")])
+    curve = runs.sparkSession.createDataFrame(per.collect(), per.schema)  # one row for each share kept
+    out = cover
+    for s in ("drop", "hold"):
+        out = interpolate(out, curve, "keep", f"rate_{s}", "fill_rate", f"false_lead_{s}")
+    return out
+
+
 def session_panel(paired: DataFrame) -> DataFrame:
     """Each regime with 30 rows or more: moves and premium, and the fit where rows and moves suffice."""
     parts = B.regimes(paired)

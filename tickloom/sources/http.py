@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from urllib.error import HTTPError
@@ -40,6 +41,17 @@ def history(page: Callable[[int | None], list[list]], pages: int, step: int = 60
     return rows
 
 
+def pages_until_last(url: str, get_: Callable[[str], str] | None = None, most: int = 10_000) -> list[tuple[int, str]]:
+    """(page number, payload) of ``url`` with {page} from 0 on, as long as a payload says page.hasNextPage."""
+    out: list[tuple[int, str]] = []
+    for number in range(most):
+        payload = (get_ or get)(url.format(page=number))
+        out.append((number, payload))
+        if not (json.loads(payload).get("page") or {}).get("hasNextPage"):
+            return out
+    raise RuntimeError(f"over {most} pages")
+
+
 class _Url(InputPartition):
     def __init__(self, number: int, url: str):
         self.number, self.url = number, url

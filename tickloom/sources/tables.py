@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +46,46 @@ def missing_symbols(wanted: DataFrame, have: DataFrame, keys: list[str] = ("wind
     return wanted.join(have.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def top_up(df: DataFrame, path: str) -> None:
-    """Appends only series that are not there yet."""
+def top_up(df: DataFrame, path: str, cover: DataFrame | None = None, cover_path: str | None = None) -> None:
+    """Appends only series that are not there yet, and the rows of cover for the same series to its table."""
     spark = df.sparkSession
-    have = read_windows(spark, path).select("window", "symbol")
-    df.join(have.distinct(), ["window", "symbol"], "left_anti").write.mode("append").partitionBy("window").parquet(path)
+    have = read_windows(spark, path).select("window", "symbol").distinct()
+    if cover is not None:
+        # the coverage goes first: it is decided by what the series lacked before
+        missing_symbols(cover, have).write.mode("append").partitionBy("window").parquet(cover_path)
+    missing_symbols(df, have).write.mode("append").partitionBy("window").parquet(path)
+
+
+def window_universe(spark: SparkSession, path: str, window: str, committed: DataFrame) -> DataFrame:
+    """The universe a window was collected against: its own snapshot if it has one, else the committed one."""
+    try:
+        own = spark.read.parquet(f"{path}/window={window}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return committed
+    return own
+
+
+def write_universe(df: DataFrame, path: str, window: str) -> None:
+    """A window's own snapshot; the committed universe is another table and stays as it is."""
+    df.write.mode("overwrite").parquet(f"{path}/window={window}")
+
+
+def mirror_files(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Copies every file of a folder that the other lacks or has otherwise, byte for byte; returns those
+    (name, sha_a, sha_b) as they were before.  Files are small result tables, listed on the driver."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    folder = jvm.org.apache.hadoop.fs.Path(target)
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    empty = spark.createDataFrame([], "name string, sha string")
+    have = file_digests(spark, target) if len(fs.listStatus(folder)) else empty
+    stale = drifted_files(file_digests(spark, source), have).where("sha_a is not null").collect()
+    for r in stale:
+        one = jvm.org.apache.hadoop.fs.Path(f"{source}/{r['name']}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(one.getFileSystem(conf), one, fs, jvm.org.apache.hadoop.fs.Path(f"{target}/{r['name']}"), False, True, conf)
+    return spark.createDataFrame([tuple(r) for r in stale], "name string, sha_a string, sha_b string")
 
 
 def drifted_files(a: DataFrame, b: DataFrame) -> DataFrame:
