@@ -280,7 +280,9 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     hubs = posts.where("gid <> hub.gid or m > 1").groupBy("gid", "n", F.col("hub.gid").alias("hub"), F.col("hub.n").alias("hub_n")).agg(F.count("*").alias("shared"))
     hubs = hubs.where(_alike(F.col("n"), F.col("hub_n"), num, den) & (F.col("shared") >= F.least(_enough(F.col("n"), num, den), _enough(F.col("hub_n"), num, den))))
     pairs = hubs.join(members.select("node", "gid"), "gid").where("node <> hub").select(F.greatest("hub", "node").alias("a"), F.least("hub", "node").alias("b")).distinct()
-    links = _verified(docs, equal, materialize(pairs, "hubs"), n, num, den)
+    pairs = materialize(pairs, "hubs")
+    links = _verified(docs, equal, pairs, n, num, den)
+    discard(lists, pairs)
     label = components(links)
 
     # 4. pairs of groups in different components
@@ -289,10 +291,11 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     entity = posts.select("token", "gid", "n", "pos").join(kinds, "gid")
     mixed = entity.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
     entity = materialize(entity.join(mixed, "token"), "entities")
+    discard(posts, members, groups)
     # the first token that a similar pair shares leaves room for the overlap in both sets
     room = lambda reach, x, y: (num + den) * F.col(reach) >= num * (F.col(x) + F.col(y))
-    lists = entity.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"))
-    left, right = (lists.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "low", "high", "reach")]) for s in "ab")
+    spans = entity.groupBy("token", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"))
+    left, right = (spans.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "low", "high", "reach")]) for s in "ab")
     sizes = (den * F.col("high_b") >= num * F.col("low_a")) & (den * F.col("high_a") >= num * F.col("low_b"))
     apart = left.join(right, "token").where((F.col("comp_a") < F.col("comp_b")) & sizes & room("reach_a", "low_a", "low_b") & room("reach_b", "low_a", "low_b")).select("token", "comp_a", "comp_b")
     ea, eb = (entity.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("comp", "gid", "n")], (F.col("n") - F.col("pos")).alias(f"reach_{s}")) for s in "ab")
@@ -303,7 +306,10 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     found = met.join(pa_, "gid_a").join(pb, "gid_b").where(shared >= F.least(_enough(F.col("n_a"), num, den), _enough(F.col("n_b"), num, den)))
     ra, rb = (of.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("gid", "comp")]) for s in "ab")
     pairs = found.join(ra, ["gid_a", "comp_a"]).join(rb, ["gid_b", "comp_b"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = _verified(docs, equal, materialize(pairs, "pairs"), n, num, den)
+    pairs = materialize(pairs, "pairs")
+    discard(entity, prefixes)
+    more = _verified(docs, equal, pairs, n, num, den)
+    discard(pairs, of)
 
     # sets of one id belong together
     sets = slim.groupBy("id").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("id")
@@ -315,6 +321,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     placed = materialize(equal.join(label, "node", "left").select("sig", "id", "copies", F.coalesce("component", "node").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("sets"))
     named = materialize(join_groups(placed, least, "component", "sets", n_sets).select("sig", "copies", "component_id"), "named")
+    discard(placed, links, more, equal)
     alone = sigs.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     rows = sigs.where("n > 0").select("id", "n", "sig")
     unknown = rows.where("id is null").join(named.select("sig", "component_id"), "sig", "left").select("id", "n", "component_id")
