@@ -12,6 +12,8 @@ from tickloom.llm.common import materialize, numbered
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go."""
+    # this application's own setting: whole texts reach Python in smaller record batches than narrow rows
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.reject(docs, scorer, 0.3)
 
