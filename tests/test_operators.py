@@ -213,10 +213,9 @@ def test_queries_simulate_and_resample_in_full(spark, monkeypatch):
     assert all(r["fitted"] == (r["w_cex"] is not None) for r in matched.values())
     d = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(d):
-        assert every["perm_spearman_full"](spark, d).first()["draws"] == 20000
-        assert every["robustness_full"](spark, d).count() == every["robustness"](spark, d).count()
+        assert every["perm_spearman"](spark, d).first()["draws"] == 20000
     monkeypatch.setattr(queries, "logs", lambda spark, d: E.log_prices(simulated(spark, 600)))
-    assert [r["draws"] for r in every["bootstrap_lead_full"](spark, d).collect()] == [400]
+    assert [r["draws"] for r in every["bootstrap_lead"](spark, d).collect()] == [400]
 
 
 def test_simulator_as_a_table_function(spark):

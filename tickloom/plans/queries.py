@@ -256,8 +256,9 @@ def sign_test(spark, d):
 
 
 def windows_leadership(spark, d):
-    fit = E.vecm_fit(logs(spark, d, split=True)).select("window", "symbol", tidy(F.col("w_a"), 4).alias("w_a"))
-    wide = R.leadership_across_windows(fit, R.window_labels(fit))
+    p = paired(spark, d, split=True)
+    fit = E.vecm_fit(E.log_prices(p)).select("window", "symbol", tidy(F.col("w_a"), 4).alias("w_a"))
+    wide = R.leadership_across_windows(fit, R.window_labels(p))
     return wide.withColumn("spread_across_windows", tidy(F.col("spread_across_windows"), 4))
 
 
@@ -356,7 +357,7 @@ def checks_table(spark, d):
     risk = Q.staleness_risk(cover.select("window", "symbol", "fill_rate"), M.staleness(spark, [4000], M.KEEPS, M.RUNS))
     spaced = B.spacing(p, HOUR).join(fits.select("window", "symbol", "w_a"), ["window", "symbol"])
     robust = Q.robustness(p, cover).where("verdict = 'ranked'")
-    across = R.leadership_across_windows(fits.select("window", "symbol", "w_a"), R.window_labels(fits))
+    across = R.leadership_across_windows(fits.select("window", "symbol", "w_a"), R.window_labels(p))
     one = paired(spark, d)
     return Q.checks_table(Q.alignment(p, HOUR), robust, E.vector_check(E.log_prices(p)), risk, spaced, Q.lag_sweep(one), Q.grid_sweep(one, 5 * HOUR), Q.dependence(one, HOUR, 60), Q.threshold(p).where("not kept"), across)
 
