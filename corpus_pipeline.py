@@ -31,9 +31,17 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays."""
-    groups = ngrams.jaccard_components(docs, 5, 80)
-    return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays (a null
+    one is the largest; then a content hash decides).  Rows are documents of their own, whatever their ids:
+    where one is null or occurs twice, they go by a row number, which takes one more copy of them."""
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        groups = ngrams.jaccard_components(docs, 5, 80)
+        return docs.join(groups.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs, "numbered")
+    groups = ngrams.jaccard_components(rows, 5, 80, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_content", "_row")
+    first = rows.select("_row", key.alias("_key")).join(groups, "_row").groupBy("component_id").agg(F.min("_key").alias("_key"))
+    return rows.join(first.select("_key._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
