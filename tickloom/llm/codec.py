@@ -39,10 +39,12 @@ from .tokens import batches
 MAGIC, VERSION = b"TLRC", 1
 HEAD = struct.Struct("<4sBBHIIIIIIII")
 TOP, BOT = np.uint64(1 << 48), np.uint64(1 << 40)
-U16, U48, ONE = np.uint64(16), np.uint64(48), np.uint64(1)
+U16, U32, U48, ONE, LOW32 = np.uint64(16), np.uint64(32), np.uint64(48), np.uint64(1), np.uint64(2**32 - 1)
 MIX_BITS, HASH_BITS, GAIN, LANES, STRETCH = 12, 18, 16, 8192, 128
-BITS0 = 24
+BITS0, NEAR = 24, 8
 BLOCK_TOKENS = 1 << 20
+#: What is added to a prediction, by its confidence: eight steps if it was wrong, eight if it was right.
+STEP = np.array([(c >> 1) - c for c in range(8)] + [1] * 7 + [0], dtype=np.int32)
 #: White space, Unicode's and Python's, for Arrow's regular expressions.
 ODD_SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -53,29 +55,41 @@ class _Model:
 
     def __init__(self, vocab: int):
         self.vocab = vocab
-        self.two, self.one = np.zeros(1 << HASH_BITS, dtype=np.int64), np.zeros(vocab, dtype=np.int64)
+        self.two, self.one = np.zeros(1 << HASH_BITS, dtype=np.int32), np.zeros(vocab, dtype=np.int32)
         self.hits = np.ones(384, dtype=np.int64)
-        self.count = np.ones(vocab, dtype=np.int64)
+        self.count, self.ramp = np.zeros(vocab, dtype=np.int64), np.arange(vocab + 1, dtype=np.uint64)
+        self.sums, self.cum, self.shares = np.zeros(vocab + 1, np.uint64), np.zeros(vocab + 1, np.uint64), np.zeros(vocab, np.uint64)
+        self.ends = self.cum[1:]
+        self.hash: np.ndarray | np.uint32 = np.uint32(0)
         self.past: list[np.ndarray] = []
         self.steps = self.next = 0
         self._mix()
         self._order0()
 
     def _mix(self) -> None:
-        """Cut points of the 4096 slots of each context."""
+        """Start and width of each choice, three to a context, among a context's 4096 slots."""
         hits = self.hits.reshape(128, 3)
         total, room = hits.sum(axis=1), (1 << MIX_BITS) - 3
         first = 1 + hits[:, 0] * room // total
-        self.cut1, self.cut2 = first.astype(np.uint64), (first + 1 + hits[:, 1] * room // total).astype(np.uint64)
+        cuts = np.stack([0 * first, first, first + 1 + hits[:, 1] * room // total, 0 * first + (1 << MIX_BITS)], axis=1).astype(np.uint64)
+        self.start, self.width = cuts[:, :3].ravel(), np.diff(cuts, axis=1).ravel()
 
     def _order0(self) -> None:
-        """Sums of the order-0 shares, in units of 2**-BITS0, one at least for each id."""
+        """Sums of the order-0 shares, in units of 2**-BITS0, one at least for each id; shares has an id's
+        sum before it in the upper half and its own share in the lower."""
         if self.past:
-            self.count += GAIN * np.bincount(np.concatenate(self.past), minlength=self.vocab)
+            self.count += np.bincount(np.concatenate(self.past), minlength=self.vocab)
             self.past = []
-        sums = np.concatenate([[0], np.cumsum(self.count)])
-        self.cum = (sums * ((1 << BITS0) - self.vocab) // sums[-1] + np.arange(self.vocab + 1)).astype(np.uint64)
-        self.freq = np.diff(self.cum)
+        sums, cum = self.sums, self.cum
+        np.cumsum(self.count.view(np.uint64), out=sums[1:])
+        np.multiply(sums, np.uint64(GAIN), out=cum)
+        cum += self.ramp  # each id counts once from the start
+        total = cum[-1]
+        cum *= np.uint64((1 << BITS0) - self.vocab)
+        cum //= total
+        cum += self.ramp
+        np.subtract(cum[1:], cum[:-1], out=self.shares)
+        self.shares |= cum[:-1] << U32
         self.near = None
         self.next = self.steps + 1 + self.steps // 16
 
@@ -83,27 +97,35 @@ class _Model:
         """The id whose share holds v: a table gives the first id of v's stretch, most ids are there or
         one further, and only the others are searched for."""
         if self.near is None:
-            self.near = np.searchsorted(self.cum, np.arange(1 << (BITS0 - 9), dtype=np.uint64) << np.uint64(9), side="right") - 1
-        at = self.near[(v >> np.uint64(9)).astype(np.int64)]
-        at += self.cum[at + 1] <= v
-        more = np.flatnonzero(self.cum[at + 1] <= v)
+            self.near = np.cumsum(np.bincount((self.ends.view(np.int64) + (1 << NEAR) - 1) >> NEAR, minlength=1 << (BITS0 - NEAR)))
+        at = self.near.take((v >> np.uint64(NEAR)).view(np.int64))
+        more = np.flatnonzero(self.ends.take(at) <= v)
+        at[more] += 1
+        more = more[self.ends.take(at.take(more)) <= v.take(more)]
         if len(more):
-            at[more] = np.searchsorted(self.cum, v[more], side="right") - 1
+            at[more] = np.searchsorted(self.ends, v[more], side="right")
         return at
 
-    def look(self, p2: np.ndarray, p1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both predictions and the context; keeps the places they came from."""
-        self.at2, self.at1 = ((p2 * 0x9E3779B1 + p1 * 0x85EBCA77) >> 7) & ((1 << HASH_BITS) - 1), p1
-        self.v2, self.v1 = self.two[self.at2], self.one[p1]
+    def look(self, p1: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both predictions after p1 (low: the same in 32 bits) and the one before it, and the place of
+        the context's first choice; keeps what learn() needs."""
+        low = low.view(np.uint32)
+        self.at2, self.at1 = (((self.hash + low * np.uint32(0x85EBCA77)) >> np.uint32(7)) & np.uint32((1 << HASH_BITS) - 1)).astype(np.int64), p1
+        self.hash = low * np.uint32(0x9E3779B1)
+        self.v2, self.v1 = self.two.take(self.at2), self.one.take(p1)
+        self.c2, self.c1 = self.v2 & 7, self.v1 & 7
         a, b = self.v2 >> 3, self.v1 >> 3
-        self.ctx = ((self.v2 & 7) << 4) + ((self.v1 & 7) << 1) + (a == b)
-        return a, b, self.ctx
-
-    def learn(self, x: np.ndarray, which: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        self.hits += np.bincount(self.ctx * 3 + which, minlength=384)
-        for table, at, v, old in ((self.two, self.at2, self.v2, a), (self.one, self.at1, self.v1, b)):
-            c = v & 7
-            table[at] = np.where(x == old, np.where(c < 7, v + 1, v), np.where(c <= 1, x << 3, v - c + (c >> 1)))
+        return a, b, (self.c2 * 48 + self.c1 * 6 + (a == b) * np.int32(3)).astype(np.int64)
+
+    def learn(self, x: np.ndarray, low: np.ndarray, choice: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """x came (low: the same in 32 bits), by this choice; hit: where a prediction was right."""
+        self.hits += np.bincount(choice, minlength=384)
+        fresh = low << 3
+        for table, at, v, c, hit in ((self.two, self.at2, self.v2, self.c2, hit2), (self.one, self.at1, self.v1, self.c1, hit1)):
+            state = c + (hit.view(np.int8) << 3)
+            new = v + STEP.take(state)
+            np.copyto(new, fresh, where=state <= 1)
+            table[at] = new
         self.past.append(x)
         self.steps += 1
         if self.steps < 16 or self.steps % 4 == 0:
@@ -117,109 +139,111 @@ def _shape(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _open(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Where a coder has a word to shift out."""
+    return ((low ^ (low + rng)) < TOP) | (rng < BOT)
+
+
+def _shift(low: np.ndarray, rng: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """low and range after a word was shifted out."""
+    return low << U16, np.where((low ^ (low + rng)) < TOP, rng, (~low + ONE) & (BOT - ONE)) << U16
+
+
 def encode_ids(ids: np.ndarray, vocab: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     """(lanes, steps, words of each lane, all words as uint16) for ids below vocab."""
     n = len(ids)
     if not n:
         return 0, 0, np.zeros(0, np.uint32), np.zeros(0, np.uint16)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, dtype=np.int64)
+    grid = np.zeros(lanes * steps, dtype=np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model, low, rng = _Model(vocab), np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, pos = np.zeros((lanes, steps * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
-    p1 = p2 = np.zeros(lanes, np.int64)
-    for x in grid:
-        a, b, ctx = model.look(p2, p1)
-        which = np.where(x == a, 0, np.where(x == b, 1, 2))
-        one, two = model.cut1[ctx], model.cut2[ctx]
+    room = steps * 3 + 8
+    out, begin = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
+    at, p1, q1 = begin.copy(), np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
+    for q in grid:
+        x = q.astype(np.int64)
+        a, b, first = model.look(p1, q1)
+        hit2, hit1 = q == a, q == b
+        which = ~hit2 * (np.int8(2) - hit1.view(np.int8))
+        choice, miss = first + which, which == 2
         r = rng >> np.uint64(MIX_BITS)
-        start = np.where(which == 0, np.uint64(0), np.where(which == 1, one, two))
-        stop = np.where(which == 0, one, np.where(which == 1, two, np.uint64(1 << MIX_BITS)))
-        low += r * start
-        rng = r * (stop - start)
-        miss = np.flatnonzero(which == 2)
-        if len(miss):
-            r0, xm = rng[miss] >> np.uint64(BITS0), x[miss]
-            low[miss] += r0 * model.cum[xm]
-            rng[miss] = r0 * model.freq[xm]
-        while True:
-            same = (low ^ (low + rng)) < TOP
-            go = np.flatnonzero(same | (rng < BOT))
-            if not len(go):
-                break
-            lo, rg = low[go], rng[go]
-            rg = np.where(same[go], rg, (~lo + ONE) & (BOT - ONE))
-            out[go, pos[go]] = lo >> U48
-            pos[go] += 1
-            low[go], rng[go] = lo << U16, rg << U16
-        model.learn(x, which, a, b)
-        p2, p1 = p1, x
-    last = (low + np.uint64(2**32 - 1)) >> np.uint64(32)
-    lane = np.arange(lanes)
-    out[lane, pos] = last >> U16
-    out[lane, pos + 1] = last & np.uint64(0xFFFF)
-    pos += 2
-    return lanes, steps, pos.astype(np.uint32), out[np.arange(out.shape[1]) < pos[:, None]]
+        low += r * model.start.take(choice)
+        rng = r * model.width.take(choice)
+        share, r0 = model.shares.take(x), rng >> np.uint64(BITS0)
+        low += r0 * (share >> U32) * miss
+        rng = np.where(miss, r0 * (share & LOW32), rng)
+        go = np.flatnonzero(_open(low, rng))
+        while len(go):
+            lo, to = low.take(go), at.take(go)
+            out[to] = lo >> U48
+            at[go] = to + 1
+            lo, rg = _shift(lo, rng.take(go))
+            low[go], rng[go] = lo, rg
+            go = go[_open(lo, rg)]
+        model.learn(x, q, choice, hit2, hit1)
+        p1, q1 = x, q
+    last = (low + np.uint64(2**32 - 1)) >> U32
+    out[at] = last >> U16
+    out[at + 1] = last & np.uint64(0xFFFF)
+    pos = at + 2 - begin
+    return lanes, steps, pos.astype(np.uint32), out.reshape(lanes, room)[np.arange(room) < pos[:, None]]
 
 
 def decode_ids(n: int, vocab: int, lanes: int, steps: int, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
-    padded = np.concatenate([words, np.zeros(steps * 3 + 16, np.uint16)]).astype(np.uint64)
+    padded = np.concatenate([words, np.zeros(steps * 3 + 16, np.uint16)])
     end = np.cumsum(lengths.astype(np.int64))
     pos = end - lengths
 
     def take(at: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return np.where(at < stop, padded[at], np.uint64(0))
+        return np.where(at < stop, padded.take(at), np.uint16(0)).astype(np.uint64)
 
     code = np.zeros(lanes, np.uint64)
     for _ in range(4):
         code = (code << U16) | take(pos, end)
         pos = pos + 1
     model, low, rng = _Model(vocab), np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    grid = np.zeros((steps, lanes), dtype=np.int64)
-    p1 = p2 = np.zeros(lanes, np.int64)
-    full, last0 = np.uint64((1 << MIX_BITS) - 1), np.uint64((1 << BITS0) - 1)
+    grid = np.zeros((steps, lanes), dtype=np.int32)
+    p1, q1 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int32)
+    last0 = np.uint64((1 << BITS0) - 1)
     for t in range(steps):
-        a, b, ctx = model.look(p2, p1)
-        one, two = model.cut1[ctx], model.cut2[ctx]
-        r = rng >> np.uint64(MIX_BITS)
-        v = np.minimum((code - low) // r, full)
-        which = (v >= one).astype(np.int64) + (v >= two)
-        start = np.where(which == 0, np.uint64(0), np.where(which == 1, one, two))
-        stop = np.where(which == 0, one, np.where(which == 1, two, full + ONE))
-        low += r * start
-        rng = r * (stop - start)
-        x = np.where(which == 0, a, b)
-        miss = np.flatnonzero(which == 2)
-        if len(miss):
-            r0 = rng[miss] >> np.uint64(BITS0)
-            v0 = np.minimum((code[miss] - low[miss]) // r0, last0)
-            xm = model.find(v0)
-            x[miss] = xm
-            low[miss] += r0 * model.cum[xm]
-            rng[miss] = r0 * model.freq[xm]
-        while True:
-            same = (low ^ (low + rng)) < TOP
-            go = np.flatnonzero(same | (rng < BOT))
-            if not len(go):
-                break
-            lo, rg = low[go], rng[go]
-            rg = np.where(same[go], rg, (~lo + ONE) & (BOT - ONE))
-            code[go] = (code[go] << U16) | take(pos[go], end[go])
-            pos[go] += 1
-            low[go], rng[go] = lo << U16, rg << U16
-        grid[t] = x
-        model.learn(x, which, a, b)
-        p2, p1 = p1, x
+        a, b, first = model.look(p1, q1)
+        r, left = rng >> np.uint64(MIX_BITS), code - low
+        over = left >= r * model.start.take(first + 1)
+        miss = left >= r * model.start.take(first + 2)
+        choice = first + over + miss
+        skip = r * model.start.take(choice)
+        low += skip
+        left -= skip
+        rng = r * model.width.take(choice)
+        r0 = rng >> np.uint64(BITS0)
+        x = model.find(np.minimum(left // r0, last0))
+        share = model.shares.take(x)
+        low += r0 * (share >> U32) * miss
+        rng = np.where(miss, r0 * (share & LOW32), rng)
+        q = np.where(miss, x, np.where(over, b, a)).astype(np.int32)
+        go = np.flatnonzero(_open(low, rng))
+        while len(go):
+            at = pos.take(go)
+            code[go] = (code.take(go) << U16) | take(at, end.take(go))
+            pos[go] = at + 1
+            lo, rg = _shift(low.take(go), rng.take(go))
+            low[go], rng[go] = lo, rg
+            go = go[_open(lo, rg)]
+        grid[t] = q
+        x = q.astype(np.int64)
+        model.learn(x, q, choice, q == a, q == b)
+        p1, q1 = x, q
     return grid.T.reshape(-1)[:n]
 
 
 def pack_block(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocab: int) -> bytes:
     """One block file.  ids are those of all documents, in order; a null id keeps a flag."""
     raw = np.ascontiguousarray(ids, dtype="<u4")
-    lanes, steps, words, body = encode_ids(raw.astype(np.int64), vocab)
+    lanes, steps, words, body = encode_ids(raw, vocab)
     table = np.array([d or 0 for d in doc_ids], dtype="<i8")
     nulls = np.packbits(np.array([d is None for d in doc_ids], dtype=bool))
     docs = zlib.compress(np.diff(table, prepend=0).astype("<i8").tobytes() + np.asarray(lengths, dtype="<u4").tobytes() + nulls.tobytes(), 1)
@@ -253,9 +277,12 @@ class Encoder:
     """Texts to ids by the tokenizers library.  Pieces between spaces are encoded once and kept,
     up to a bound: byte-level pre-tokens start at a space that something other than white space
     follows.  Texts with other spacing, or with a special token's string, go through the library
-    whole."""
+    whole.
 
-    KEEP = 1_200_000
+    What is kept are packed arrays, of the pieces and of their ids, and no objects: these take
+    several times as much of a worker's memory."""
+
+    KEEP, KEEP_BYTES = 1_200_000, 64 << 20
 
     def __init__(self, path: str):
         import os
@@ -269,7 +296,7 @@ class Encoder:
         self.type = np.dtype("<u2" if self.vocab <= 65536 else "<u4")
         specials = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = "|".join([f" [{ODD_SPACE}]", " $", *specials])
-        self.known: dict[str, bytes] = {}
+        self._forget()
         space = self.tok.encode(" ", add_special_tokens=False).tokens[0]
         self.opens = np.zeros(self.vocab, dtype=bool)
         self.opens[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
@@ -277,15 +304,39 @@ class Encoder:
     def _run(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes pieces in one text, a space before each; only a piece's first token has a space."""
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids, dtype=self.type)
-        at = np.flatnonzero(self.opens[ids]) * self.type.itemsize
-        raw = ids.tobytes()
-        self.known.update((c, raw[i:j]) for c, i, j in zip(pieces, at.tolist(), [*at[1:].tolist(), len(raw)], strict=True))
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and the number of each one's, encoded in one text, a space before each; only a piece's
+        first token has a space."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py()
+        ids = np.array(self.tok.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, dtype=self.type)
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(pieces):
+            raise ValueError(f"{len(pieces)} pieces gave {len(at)}")
+        return ids, np.diff(at, append=len(ids))
 
     def _forget(self) -> None:
-        self.known = {}
+        self.known, self.ids, self.sizes = pa.array([], pa.string()), np.zeros(0, self.type), np.zeros(0, np.int64)
+
+    def _keep(self, rows: np.ndarray) -> None:
+        """Keeps these of the known pieces alone."""
+        begin = np.cumsum(self.sizes) - self.sizes
+        self.known, self.ids, self.sizes = self.known.take(pa.array(rows)), self.ids[_spread(begin[rows], self.sizes[rows])], self.sizes[rows]
+
+    def _find(self, names: pa.Array) -> np.ndarray:
+        """The place of each name among the known pieces, which then hold all of them; -1 for an empty one."""
+        names = names.cast(pa.string())
+        at = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero((at < 0) & (pc.binary_length(names).to_numpy() > 0))
+        if len(self.known) + len(new) > self.KEEP or self.known.nbytes > self.KEEP_BYTES:
+            found = np.flatnonzero(at >= 0)
+            self._keep(at[found])
+            at[found] = np.arange(len(found))
+        at[new] = len(self.known) + np.arange(len(new))
+        fresh = names.take(pa.array(new))
+        made = [self._learn(fresh.slice(k, 50_000)) for k in range(0, len(new), 50_000)]
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.ids, self.sizes = (np.concatenate([old, *x]) for old, x in zip((self.ids, self.sizes), zip(*made, strict=True) if made else ((), ()), strict=True))
+        return at
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Each text's ids, packed.  Pieces are split and numbered by Arrow kernels, each distinct one is
@@ -303,28 +354,30 @@ class Encoder:
         pieces = lists.flatten()
         heads = self._run(pieces.take(pa.array(first)).to_pylist())
         numbered = pieces.dictionary_encode()
-        names = numbered.dictionary.to_pylist()
-        found = list(map(self.known.get, names))
-        missing = [c for c, v in zip(names, found, strict=True) if v is None and c]
-        if len(self.known) + len(missing) > self.KEEP:
-            self.known = {c: v for c, v in zip(names, found, strict=True) if v is not None}
-        for k in range(0, len(missing), 50_000):
-            self._learn(missing[k : k + 50_000])
-        get = self.known.get
-        found = [(get(c) or b"") if v is None else v for c, v in zip(names, found, strict=True)]
-        which = numbered.indices.to_numpy().astype(np.int64)
-        which[first] = len(found) + np.arange(len(first))
-        found += heads
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
-        ids, begin = np.frombuffer(b"".join(found), dtype=self.type), np.cumsum(sizes) - sizes
+        place = self._find(numbered.dictionary)
+        width, n = self.type.itemsize, len(self.known)
+        which = place[numbered.indices.to_numpy()]
+        which[first] = n + np.arange(len(first))  # a text's first piece has no space before it
+        sizes = np.r_[self.sizes, np.fromiter(map(len, heads), np.int64, len(heads)) // width]
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(heads), dtype=self.type)])
         take = sizes[which]
         ends = np.cumsum(take)
-        out = ids[np.repeat(begin[which] - (ends - take), take) + np.arange(ends[-1])]
+        out = ids[_spread((np.cumsum(sizes) - sizes)[which], take)]
         stop = np.r_[ends[first[1:] - 1], ends[-1]]
-        raw, width = out.tobytes(), self.type.itemsize
+        raw = out.tobytes()
         return [raw[i * width : j * width] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, .. of runs of these sizes, one run after the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, int(begin.max(initial=0)) + total) < 2**31 else np.int64
+    out = np.repeat((begin - (ends - size)).astype(kind), size)
+    out += np.arange(total, dtype=kind)
+    return out
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -366,7 +419,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 0, block_tokens: int
             block = pack_block(names, np.array(lens), ids, enc.vocab)
             return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "before": before, "n_docs": len(names), "n_tokens": len(ids), "block": block}], schema=schema)
 
-        for b in batches(table, "text", 16 << 20):
+        for b in batches(table, "text", 24 << 20):
             for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                 n = len(ids) // enc.type.itemsize + 1
                 if names and size + n > block_tokens:
