@@ -348,6 +348,16 @@ def test_encoder_equals_the_library(t):
     assert np.frombuffer(codec.encoder(BYTE).encode(pa.array([t]))[0], "<u2").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_small_tables_are_not_cut_into_many_blocks(docs):
+    """A file, and two child processes of the executor for it, were made for each range of ids."""
+    few = codec.write_blocks(docs.where("doc_id < 300"), BYTE)
+    assert few.count() == 1
+    many = codec.write_blocks(docs, BYTE, block_tokens=20000)
+    assert many.select("part").distinct().count() > 1
+    key = ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert sorted(codec.read_blocks(few).select(key).collect()) == sorted(codec.read_blocks(many).select(key).collect())
+
+
 def test_encoder_keeps_packed_pieces():
     """A worker's memory: pieces kept as objects took 116 bytes each here."""
     enc = codec.Encoder(BYTE)

@@ -402,11 +402,13 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = 0, block_tokens: int
     Null text counts as empty: its ids are the end id alone.  Null ids come first.  Repeated ids
     are documents of their own.  A block takes whole documents until it has ``block_tokens`` ids, so
     a longer document is a block of its own.  An empty table gives no blocks.
-    Partitions are ranges of ids, dealt out before the costly encoding.
+    Partitions are ranges of ids, dealt out before the costly encoding; there are fewer of them where
+    each would have less text than ``block_tokens`` bytes, as small blocks start their models anew.
     The rows are stored as Parquet by Spark's committer: a lost task leaves nothing behind.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = _by_id(slim, partitions(docs.sparkSession)).sortWithinPartitions("doc_id")
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = _by_id(slim, max(1, min(partitions(docs.sparkSession), size // block_tokens))).sortWithinPartitions("doc_id")
     schema = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("block", pa.binary())])
 
     def run(table: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
